@@ -104,7 +104,7 @@ def label_options(df: DataFrame, out: str = "label", qtype: str = "qtype", optio
         tokens(c(victim)).alias("_t_own_vic"),
         *[tokens(c(f"_got_{s}")).alias(f"_t_got_{s}") for s in SLOTS],
         *[tokens(c(f"_ref_{s}")).alias(f"_t_ref_{s}") for s in SLOTS],
-        F.transform(c(bystanders), tokens).alias("_t_by"))
+        F.transform(c(bystanders), lambda b: tokens(b)).alias("_t_by"))
 
     def match(a, b):
         return jaccard_at_least(c(a), c(b), 0.5)
@@ -204,7 +204,7 @@ def option_properties(qtype: Column, option: Column) -> Column:
     found = F.concat(
         F.regexp_extract_all(text, F.lit(K.PERSON_PROPERTY), 0),
         F.regexp_extract_all(text, F.lit(K.ACTION_PROPERTY), 1))
-    named = F.filter(F.transform(found, F.trim), lambda p: p != "")
+    named = F.filter(F.transform(found, lambda x: F.trim(x)), lambda p: p != "")
     whole = F.array(text)
     return F.when(qtype.isin("primary_action", "scene_location", "role_identification"), whole).when(
         F.size(found) == 0, F.array(F.left(text, F.lit(60)))).otherwise(named)

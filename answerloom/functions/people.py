@@ -149,19 +149,19 @@ def any_specific(items: Column) -> Column:
 
 
 def specific_people(items: Column) -> Column:
-    return F.transform(F.filter(items, is_specific), F.trim)
+    return F.transform(F.filter(items, is_specific), lambda x: F.trim(x))
 
 
 def individual_people(items: Column) -> Column:
     """B6. Members that are not groups, without case-insensitive repeats (first one kept)."""
-    named = F.filter(F.transform(items, F.trim), lambda x: (x != "") & ~F.lower(x).contains("group of"))
+    named = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).contains("group of"))
     lowered = F.transform(named, F.lower)
     return F.filter(named, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
 def split_people(text: Column) -> Column:
     """B6. A joined description back into its parts."""
-    parts = F.transform(F.split(text, r"\s+and\s+|,\s*"), F.trim)
+    parts = F.transform(F.split(text, r"\s+and\s+|,\s*"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

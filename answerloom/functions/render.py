@@ -200,7 +200,7 @@ def video_context(aggressor: Column, victim: Column, action: Column, environment
                   bystanders: Column) -> Column:
     """B20. Labelled lines; people lists joined by ' and '."""
     def joined(items):
-        return F.array_join(F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), F.trim), " and ")
+        return F.array_join(F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), lambda x: F.trim(x)), " and ")
 
     def line(label, text, keep=lit(True)):
         return F.when((text != "") & keep, F.concat(lit(f"{label}: "), text))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_int, order_key
 from ..session import settle
 
-HASH_BUCKETS = 4096  # three hex digits
 HOT_SHARE = 1000  # a key is hot above 1/1000 of all rows, so at most 1000 keys are
 
 
@@ -73,6 +72,23 @@ def sorted_ordinal(df: DataFrame, order, ordinal: str = "ordinal", by=()) -> Dat
         .select(*[F.col(f"r.{c}") for c in df.columns], (F.col(f"r.{ordinal}") - F.col("c._start")).alias(ordinal)))
 
 
+def running_total(df: DataFrame, order, value: str, out: str = "running") -> DataFrame:
+    """Running sum of `value` in natural order over any number of rows, without a single-task window."""
+    order = list(order)
+    tagged = df.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    names = [f"_o{i}" for i in range(len(order))]
+    spread = tagged.repartitionByRange(*names).sortWithinPartitions(*names)
+    fixed = settle(spread.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sums = fixed.groupBy(part.alias("_part")).agg(F.sum(value).alias("_sum"))
+    running = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = sums.select("_part", (F.sum("_sum").over(running) - F.col("_sum")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_before") + F.sum(value).over(inside)).select(*df.columns, out))
+
+
 def top_k(df: DataFrame, k: int, order, by=()) -> DataFrame:
     """The first k rows per group; Spark trims to k per group before the shuffle."""
     if k > 1000:
@@ -101,11 +117,9 @@ def lookup(fact: DataFrame, dim: DataFrame, on: str, values, weight: str, spread
     are fewer than 1000, are broadcast; the rest is a shuffle join, in which hot and missing
     keys are spread by `spread` so that none lands in one task.
     """
-    values = list(values)
-    total = dim.agg(F.sum(weight).alias("_total"))
-    sized = dim.join(F.broadcast(total))
-    hot = sized.filter(F.col(weight) * HOT_SHARE > F.col("_total"))
-    hot = hot.select(F.col(on).alias("_hot"), *[F.col(v).alias(f"_h_{v}") for v in values])
+    values, dim = list(values), settle(dim)  # read three times below
+    total = dim.agg(F.sum(weight)).scalar()
+    hot = dim.filter(F.col(weight) * HOT_SHARE > total).select(F.col(on).alias("_hot"), *[F.col(v).alias(f"_h_{v}") for v in values])
     cold = dim.select(F.col(on).alias("_cold"), *[F.col(v).alias(f"_c_{v}") for v in values])
     first = fact.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
     away = F.concat(F.lit("\u0001"), spread.cast("string"))
