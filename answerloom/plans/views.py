@@ -5,16 +5,22 @@
 `questions`  twelve question types per clip with an action, with options and labels.
 `results`    answers of four models to every question, in four response styles.
 Every per-order value is a min, max or count, so a hot order costs no more than any other.
+
+`clips` and `questions` are written once per application to the shared checkpoint folder and
+read back, as the real annotation and bank tables would be; `results` is computed from them.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.hashing import hex_int, order_key
 from ..functions.people import literals
+from ..session import shared_folder
 
 MODELS = (  # name, size group, family, skill by tier (percent), response style
     ("atlas-8b", "small", "atlas", (52, 40, 27, 35), "number"),
@@ -36,7 +42,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
+    """A derived table, written to the shared folder the first time an application asks for it."""
+    app = spark.sparkContext.applicationId
+    if (app, sf_dir, name) not in _stored:
+        path = f"{shared_folder(spark)}/views-{app}/{zlib.crc32(sf_dir.encode()):08x}/{name}"
+        derive(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _stored[app, sf_dir, name] = path
+    return spark.read.parquet(_stored[app, sf_dir, name])
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "clips", derive_clips)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "questions", derive_questions)
+
+
+def derive_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("s1"), F.max("l_suppkey").alias("s2"),
         F.min(F.when(F.col("l_returnflag") == "A", F.col("l_suppkey"))).alias("s3"))
@@ -100,7 +127,7 @@ def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.array(*[
         F.struct(F.lit(t).alias("qtype"), F.lit(n).alias("n"), F.lit(tier == 3).alias("is_secondary"))
         for t, n, tier in VIEW_TYPES])
