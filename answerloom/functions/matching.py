@@ -75,7 +75,7 @@ def parse_slots(qtype: Column, text: Column) -> dict[str, Column]:
                 unclear = t.rlike(K.LOCATION_UNCLEAR_PATTERN)
                 other = F.lit("unclear") if slot == "loc" else _extract(t, K.LOCATION_UNCLEAR_PATTERN, 1)
                 value = F.when(unclear, other).otherwise(value)
-            branch = (branch or F).when(qtype == name, value)
+            branch = (F if branch is None else branch).when(qtype == name, value)
         out[slot] = branch
     return out
 

@@ -49,7 +49,7 @@ def hash_rank(df: DataFrame, keys, by=(), seed: int = 42, op: str = "", rank: st
 def sorted_ordinal(df: DataFrame, order, ordinal: str = "ordinal", by=()) -> DataFrame:
     """Number rows from 0 in natural order, inside each `by` group when given.
 
-    A range sort spreads any group over many partitions; the sorted rows are checkpointed so
+    A range sort spreads any group over many partitions; the sorted rows are stored so
     that partition offsets, counted afterwards, stay true.
     """
     by, order = list(by), list(order)

@@ -1,8 +1,9 @@
-"""Session settings and the shared-folder checkpoint used to cut lineage."""
+"""Session settings and the shared folder in which intermediate tables are kept."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Fix a DataFrame's rows (and row order) by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Fix a DataFrame's rows by writing them to the shared folder and reading them back.
+
+    This cuts lineage, survives lost executors, and gives later joins true sizes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
