@@ -59,8 +59,8 @@ def person_answer(person: Column, none_text: str) -> Column:
 
 
 def slot_answers(agg: Column, vic: Column, by: Column, act: Column, env: Column,
-                 style: Column, coin: Column) -> dict[str, Column]:
-    """B22. Answer text by question type from formatted slots.
+                 style: Column, coin: Column, types=None) -> dict[str, Column]:
+    """B22. Answer text by question type from formatted slots, for all or some types.
 
     `style` (0-2) picks one of three sentence styles, `coin` (0-1) one of two null wordings.
     Used for correct answers and, with changed slots, for distractors.
@@ -68,31 +68,31 @@ def slot_answers(agg: Column, vic: Column, by: Column, act: Column, env: Column,
     def pick(a, b):
         return F.when(coin == 0, a).otherwise(b)
 
-    return {
-        "primary_action": F.coalesce(act, lit("unknown action")),
-        "aggressor_identification": person_answer(agg, "No one displays aggressive behavior"),
-        "perspective_aggressor": person_answer(agg, "No one displays aggressive behavior"),
-        "victim_recognition": person_answer(vic, "No one appears to be victimized"),
-        "bystander_detection": person_answer(by, "No bystanders are present"),
-        "scene_location": F.coalesce(env, lit("Location unclear / not shown")),
-        "interaction_summary": F.when(agg.isNull() & vic.isNull(), "No action takes place").otherwise(F.concat(
+    table = {
+        "primary_action": lambda: F.coalesce(act, lit("unknown action")),
+        "aggressor_identification": lambda: person_answer(agg, "No one displays aggressive behavior"),
+        "perspective_aggressor": lambda: person_answer(agg, "No one displays aggressive behavior"),
+        "victim_recognition": lambda: person_answer(vic, "No one appears to be victimized"),
+        "bystander_detection": lambda: person_answer(by, "No bystanders are present"),
+        "scene_location": lambda: F.coalesce(env, lit("Location unclear / not shown")),
+        "interaction_summary": lambda: F.when(agg.isNull() & vic.isNull(), "No action takes place").otherwise(F.concat(
             F.coalesce(agg, lit("Unknown person")), lit(" performs action of "),
             F.coalesce(act, lit("unknown action")), lit(" on "), F.coalesce(vic, lit("unknown target")))),
-        "social_appropriateness": F.coalesce(
+        "social_appropriateness": lambda: F.coalesce(
             F.concat(lit("The action performed by "), agg), lit("No actions performed are socially inappropriate")),
-        "compound_aggressor_location": two_part(
+        "compound_aggressor_location": lambda: two_part(
             agg, env, F.concat(agg, lit(" in "), env), F.concat(agg, lit("; location unclear")),
             F.concat(lit("No aggressor present; location is "), env),
             lit("No aggressor present and location unclear")),
-        "compound_action_victims": F.concat(
+        "compound_action_victims": lambda: F.concat(
             F.coalesce(act, lit("No action")), lit("; Victim: "),
             F.coalesce(vic, lit("No one appears to be victimized"))),
-        "compound_action_aggressor": F.concat(
+        "compound_action_aggressor": lambda: F.concat(
             F.coalesce(act, lit("No action")), lit("; Aggressor: "), F.coalesce(agg, lit("No aggressor present"))),
-        "compound_action_location": two_part(
+        "compound_action_location": lambda: two_part(
             act, env, F.concat(act, lit(" in "), env), F.concat(act, lit(" in unclear location")),
             F.concat(lit("No action in "), env), lit("No action and location unclear")),
-        "compound_aggressor_victim": two_part(
+        "compound_aggressor_victim": lambda: two_part(
             agg, vic, pair_text(agg, vic, style),
             pick(F.concat(lit("Aggressor: "), agg, lit("; No victim")),
                  F.concat(agg, lit(" is the aggressor; no victim identified"))),
@@ -100,17 +100,18 @@ def slot_answers(agg: Column, vic: Column, by: Column, act: Column, env: Column,
                  F.concat(lit("No aggressor identified; "), vic, lit(" is the victim"))),
             pick(lit("No aggressor described and no victim described"),
                  lit("Neither an aggressor nor a victim can be identified"))),
-        "compound_bystander_location": two_part(
+        "compound_bystander_location": lambda: two_part(
             by, env, F.concat(by, lit(" in "), env), F.concat(by, lit(" in unclear location")),
             F.concat(lit("No bystanders in "), env), lit("No bystanders and location unclear")),
-        "compound_aggressor_action_victim": F.when(
+        "compound_aggressor_action_victim": lambda: F.when(
             agg.isNull() & act.isNull() & vic.isNull(),
             pick(lit("No one did anything to anyone"), lit("No aggressive interaction occurred"))).otherwise(
             triple_text(F.coalesce(agg, lit("Unknown person")), F.coalesce(act, lit("unknown action")),
                         F.coalesce(vic, lit("unknown target")), style)),
-        "sequence_verification": F.when(
+        "sequence_verification": lambda: F.when(
             agg.isNotNull() & act.isNotNull() & vic.isNotNull(), sequence_text(agg, act, vic, style)),
     }
+    return {t: make() for t, make in table.items() if types is None or t in types}
 
 
 def count_answers(aggressor: Column, victim: Column, bystander: Column) -> dict[str, Column]:

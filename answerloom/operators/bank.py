@@ -493,7 +493,7 @@ def inverted_questions(clips: DataFrame, pools: Pools | None = None, types=K.INV
     person = lambda x: F.when(x == "A", c("agg")).otherwise(c("vic"))
     action = lambda x: F.when(x == "gt", c("act")).when(x == "d1", c("d1")).otherwise(c("d2"))
     text = lambda o: rd.by_type(c("qtype"), rd.slot_answers(
-        person(o["a"]), person(o["v"]), c("by"), action(o["x"]), c("env"), c("style"), c("coin")))
+        person(o["a"]), person(o["v"]), c("by"), action(o["x"]), c("env"), c("style"), c("coin"), types=types))
     rows = rows.withColumn("_layout", layout).withColumn("_texts", F.transform("_layout", text))
     rows = rows.filter(F.size(F.array_distinct("_texts")) == len(K.INVERTED_LAYOUT)).select(
         "clip", "qtype", F.get("_texts", lit(1)).alias("correct_answer"), "_texts",
@@ -647,42 +647,47 @@ def override_candidates(questions: DataFrame, pools: Pools, n: int = 7) -> DataF
     local = F.get(who, c("k"))
     na, np_, ne = c("new_actions"), c("new_people"), c("new_places")
     first = c("k") == 0
-    text = lambda a, v, x, e, b=by: rd.by_type(q, rd.slot_answers(a, v, b, x, e, c("style"), c("coin")))
-    types = lambda *names: q.isin(*names)
-    both = types("compound_aggressor_action_victim", "interaction_summary")
-    av = types("compound_aggressor_victim")
-    a_loc, b_loc, x_loc = types("compound_aggressor_location"), types("compound_bystander_location"), types("compound_action_location")
-    x_vic, x_agg = types("compound_action_victims"), types("compound_action_aggressor")
+    aav, summary, av = "compound_aggressor_action_victim", "interaction_summary", "compound_aggressor_victim"
+    a_loc, b_loc, x_loc = "compound_aggressor_location", "compound_bystander_location", "compound_action_location"
+    x_vic, x_agg = "compound_action_victims", "compound_action_aggressor"
     order = order_key(pools.seed, "override", c("clip"), q, c("k"))
 
-    def cand(when, rank, tag, t, ka=False, kg=False, kv=False, free=False):
+    def cand(names, when, rank, tag, slots_, ka=False, kg=False, kv=False, free=False):
+        if isinstance(slots_, Column):
+            t = slots_
+        else:
+            a, v, x, e, *b = slots_
+            t = rd.by_type(q, rd.slot_answers(a, v, b[0] if b else by, x, e, c("style"), c("coin"), types=names))
+        when = when & q.isin(*names)
         body = F.struct(
             lit(rank).alias("rank"), F.concat(order, lit(tag)).alias("tie"), t.alias("text"), lit(ka).alias("keeps_act"),
             lit(kg).alias("keeps_agg"), lit(kv).alias("keeps_vic"), lit(free).alias("free"))
         return F.when(F.coalesce(when & t.isNotNull(), lit(False)), body)
 
+    acted, where = act.isNotNull(), env.isNotNull()
+    yes = lit(True)
     entries = [
         # guaranteed
-        cand(first & x_loc, 0, "a", lit(K.NULL_ANSWERS["compound_action_location"]), free=True),
-        cand(first & x_loc & env.isNotNull() & na.isNotNull(), 1, "b", text(agg, vic, na, env), free=True),
-        cand(first & (both | av) & agg.isNotNull() & vic.isNotNull(), 0, "c", text(vic, agg, act, env), ka=True, free=True),
-        cand(first & x_vic & act.isNotNull() & agg.isNotNull(), 0, "d", text(agg, agg, act, env), ka=True, free=True),
-        cand(first & x_agg & act.isNotNull() & vic.isNotNull(), 0, "e", text(vic, vic, act, env), ka=True, free=True),
-        cand(first & a_loc & vic.isNotNull(), 0, "f", text(vic, vic, act, env), free=True),
-        cand(first & (both | av | a_loc | x_agg) & lone.isNotNull(), 1, "g", text(lone, vic, act, env), ka=True, kv=True, free=True),
-        cand(first & (av | x_vic) & lone.isNotNull(), 2, "h", text(agg, lone, act, env), ka=True, kg=True, free=True),
+        cand((x_loc,), first, 0, "a", lit(K.NULL_ANSWERS[x_loc]), free=True),
+        cand((x_loc,), first & where & na.isNotNull(), 1, "b", (agg, vic, na, env), free=True),
+        cand((aav, summary, av), first & agg.isNotNull() & vic.isNotNull(), 0, "c", (vic, agg, act, env), ka=True, free=True),
+        cand((x_vic,), first & acted & agg.isNotNull(), 0, "d", (agg, agg, act, env), ka=True, free=True),
+        cand((x_agg,), first & acted & vic.isNotNull(), 0, "e", (vic, vic, act, env), ka=True, free=True),
+        cand((a_loc,), first & vic.isNotNull(), 0, "f", (vic, vic, act, env), free=True),
+        cand((aav, summary, av, a_loc, x_agg), first & lone.isNotNull(), 1, "g", (lone, vic, act, env), ka=True, kv=True, free=True),
+        cand((av, x_vic), first & lone.isNotNull(), 2, "h", (agg, lone, act, env), ka=True, kg=True, free=True),
         # bystanders of the clip, one by one
-        cand((av | types("compound_aggressor_action_victim")) & local.isNotNull(), 3, "i", text(local, vic, act, env), ka=True, kv=True, free=True),
-        cand((av | types("compound_aggressor_action_victim")) & local.isNotNull(), 3, "j", text(agg, local, act, env), ka=True, kg=True, free=True),
+        cand((av, aav), local.isNotNull(), 3, "i", (local, vic, act, env), ka=True, kv=True, free=True),
+        cand((av, aav), local.isNotNull(), 3, "j", (agg, local, act, env), ka=True, kg=True, free=True),
         # one slot swapped; another action first where variety of actions matters
-        cand((x_vic | x_agg | types("interaction_summary")) & na.isNotNull(), 4, "k", text(agg, vic, na, env), kg=True, kv=True),
-        cand((types("compound_aggressor_action_victim") | x_loc) & na.isNotNull(), 5, "l", text(agg, vic, na, env), kg=True, kv=True),
-        cand((both | av | x_vic) & np_.isNotNull(), 5, "m", text(agg, np_, act, env), ka=True, kg=True),
-        cand((both | av | x_agg | a_loc) & np_.isNotNull(), 5, "n", text(np_, vic, act, env), ka=True, kv=True),
-        cand(b_loc & np_.isNotNull() & env.isNotNull(), 5, "o", text(agg, vic, act, env, np_)),
-        cand((a_loc | b_loc | x_loc) & ne.isNotNull(), 5, "p", text(agg, vic, act, ne), kg=True),
+        cand((x_vic, x_agg, summary), na.isNotNull(), 4, "k", (agg, vic, na, env), kg=True, kv=True),
+        cand((aav, x_loc), na.isNotNull(), 5, "l", (agg, vic, na, env), kg=True, kv=True),
+        cand((aav, summary, av, x_vic), np_.isNotNull(), 5, "m", (agg, np_, act, env), ka=True, kg=True),
+        cand((aav, summary, av, x_agg, a_loc), np_.isNotNull(), 5, "n", (np_, vic, act, env), ka=True, kv=True),
+        cand((b_loc,), np_.isNotNull() & where, 5, "o", (agg, vic, act, env, np_)),
+        cand((a_loc, b_loc, x_loc), ne.isNotNull(), 5, "p", (agg, vic, act, ne), kg=True),
         # everything drawn
-        cand(lit(True) & np_.isNotNull() & na.isNotNull(), 6, "q", text(np_, c("d_vic"), na, F.coalesce(c("d_env"), ne), np_)),
+        cand(OVERRIDE_TYPES, yes & np_.isNotNull() & na.isNotNull(), 6, "q", (np_, c("d_vic"), na, F.coalesce(c("d_env"), ne), np_)),
     ]
     kept = F.filter(F.array(*entries), lambda x: x.isNotNull())
     return rows.select("clip", "qtype", F.explode(kept).alias("o")).select("clip", "qtype", "o.*")
@@ -736,21 +741,27 @@ def balanced_grid(questions: DataFrame, clips: DataFrame, pools: Pools | None =
     other = F.coalesce(c("new_people"), lit("unknown person"))
     flip = hash_int(pools.seed, "grid", c("clip"), q) % 2 == 0
     pick = lambda right, x, y: F.coalesce(F.when(flip, F.nullif(x, right)), F.nullif(y, right), F.nullif(x, right), other)
-    text = lambda a, v, x, e, b=by: rd.by_type(q, rd.slot_answers(a, v, b, x, e, c("style"), c("coin")))
-    wrong_a, wrong_v = pick(agg, vic, lone), pick(vic, agg, lone)
+    wrong_a, wrong_v, near = pick(agg, vic, lone), pick(vic, agg, lone), F.coalesce(lone, other)
+    third = F.when(lone.isNotNull(), lone).otherwise(vic)
+    # per type: the two parts that must be there, and the slots of the three options
     grids = {
-        "compound_action_location": (act, env, [text(agg, vic, act, ne), text(agg, vic, na, env), text(agg, vic, na, ne)]),
-        "compound_aggressor_location": (agg, env, [text(agg, vic, act, ne), text(wrong_a, vic, act, env), text(wrong_a, vic, act, ne)]),
-        "compound_action_victims": (act, vic, [text(agg, wrong_v, act, env), text(agg, vic, na, env), text(agg, wrong_v, na, env)]),
-        "compound_action_aggressor": (act, agg, [text(wrong_a, vic, act, env), text(agg, vic, na, env), text(wrong_a, vic, na, env)]),
-        "compound_bystander_location": (by, env, [text(agg, vic, act, ne), text(agg, vic, act, env, other), text(agg, vic, act, ne, other)]),
-        "compound_aggressor_victim": (agg, vic, [text(vic, agg, act, env), text(F.coalesce(lone, other), vic, act, env), text(agg, F.coalesce(lone, other), act, env)]),
-        "compound_aggressor_action_victim": (F.when(act.isNotNull(), agg), vic, [text(vic, agg, act, env), text(agg, vic, na, env),
-                                             F.when(lone.isNotNull(), text(lone, vic, act, env)).otherwise(text(vic, agg, na, env))]),
+        "compound_action_location": (act, env, [(agg, vic, act, ne), (agg, vic, na, env), (agg, vic, na, ne)]),
+        "compound_aggressor_location": (agg, env, [(agg, vic, act, ne), (wrong_a, vic, act, env), (wrong_a, vic, act, ne)]),
+        "compound_action_victims": (act, vic, [(agg, wrong_v, act, env), (agg, vic, na, env), (agg, wrong_v, na, env)]),
+        "compound_action_aggressor": (act, agg, [(wrong_a, vic, act, env), (agg, vic, na, env), (wrong_a, vic, na, env)]),
+        "compound_bystander_location": (by, env, [(agg, vic, act, ne), (agg, vic, act, env, other), (agg, vic, act, ne, other)]),
+        "compound_aggressor_victim": (agg, vic, [(vic, agg, act, env), (near, vic, act, env), (agg, near, act, env)]),
+        "compound_aggressor_action_victim": (F.when(act.isNotNull(), agg), vic, [
+            (vic, agg, act, env), (agg, vic, na, env),
+            (third, F.when(lone.isNotNull(), vic).otherwise(agg), F.when(lone.isNotNull(), act).otherwise(na), env)]),
     }
+
+    def text(t, a, v, x, e, b=by):
+        return rd.slot_answers(a, v, b, x, e, c("style"), c("coin"), types=(t,))[t]
+
     branch, whole = F, F
     for t, (x, y, options) in grids.items():
-        branch = branch.when(q == t, F.array(*options))
+        branch = branch.when(q == t, F.array(*[text(t, *o) for o in options]))
         whole = whole.when(q == t, x.isNotNull() & y.isNotNull())
     rows = rows.filter(whole).withColumn("_o", branch)
     rows = rows.filter(F.forall("_o", lambda o: o.isNotNull() & (o != c("correct_answer"))))
