@@ -10,6 +10,7 @@ from ..functions.freetext import chain_commits, mcq_fault
 from ..functions.hashing import digest_mod, order_key
 from ..functions.matching import label_options
 from ..functions.render import letter, video_context
+from ..session import settle
 from .accuracy import map_column
 from .ranking import last_per_key, sorted_ordinal
 
@@ -167,8 +168,9 @@ def retrieve_one_shot(test: DataFrame, train: DataFrame) -> DataFrame:
     third of all rows is spread over many tasks.
     """
     bucket = ["qtype", "is_trick"]
-    index = sorted_ordinal(train.select(*bucket, "clip", "prompt", "group_id", "answers", "correct_index"),
-                           ["clip", "prompt"], "pos", by=bucket)
+    # both sides are read several times below, so each is stored once
+    index = settle(sorted_ordinal(train.select(*bucket, "clip", "prompt", "group_id", "answers", "correct_index"),
+                                  ["clip", "prompt"], "pos", by=bucket))
     sizes = index.groupBy(*bucket).agg(F.count("*").alias("size"))
     # one row per type and trick flag
     flags = sizes.groupBy("qtype").agg(
@@ -186,7 +188,7 @@ def retrieve_one_shot(test: DataFrame, train: DataFrame) -> DataFrame:
         & F.col("a.group_id").eqNullSafe(F.col("o.group_id")))
     asked = a.join(o, same, "left").select("a.*", (F.col("a.size") - F.coalesce("o.own", F.lit(0))).alias("left"))
     seed = F.concat_ws("|", "clip", "prompt", "qtype")
-    asked = asked.withColumn("j", F.when(F.col("left") > 0, digest_mod(seed, F.col("left"))))
+    asked = settle(asked.withColumn("j", F.when(F.col("left") > 0, digest_mod(seed, F.col("left")))))
 
     # shifted own positions, summed per value
     at = sorted_ordinal(index.select(*bucket, "group_id", "pos"), ["pos"], "i", by=[*bucket, "group_id"])

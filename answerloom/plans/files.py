@@ -14,7 +14,7 @@ from ..sources import sinks
 from ..streaming import running
 from .registry import query
 from .view_sql import sql
-from .views import clips, questions, raw_annotations, results, stored, table
+from .views import clips, questions, raw_annotations, results, table
 
 
 def fresh(spark, name):
@@ -208,7 +208,7 @@ def bank_metadata(spark, sf):
 
 def answer_stream(spark, sf, files=2):
     """The answers as a stream of files, a few per batch."""
-    kept = stored(spark, sf, "results", lambda s, d: results(s, d))
+    kept = results(spark, sf, with_text=True)
     folder = kept.inputFiles()[0].rsplit("/", 1)[0]
     return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", files).parquet(folder)
 

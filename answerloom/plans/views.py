@@ -6,8 +6,8 @@
 `results`    answers of four models to every question, in four response styles.
 Every per-order value is a min, max or count, so a hot order costs no more than any other.
 
-`clips` and `questions` are written once per application to the shared checkpoint folder and
-read back, as the real annotation and bank tables would be; `results` is computed from them.
+The three tables are written once per application to the shared checkpoint folder and read
+back, as the real annotation, bank and result tables would be.
 """
 
 from __future__ import annotations
@@ -194,14 +194,18 @@ def derive_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """Model answers; `with_text` adds the options for the dialects that read them."""
+    rows = stored(spark, sf_dir, "results", derive_results)
+    return rows if with_text else rows.drop("answers")
+
+
+def derive_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(style).alias("style"), literals(skill).alias("skill"))
         for m, _, _, skill, style in MODELS])
     tier_of = F.create_map(*[F.lit(x) for t, _, tier in VIEW_TYPES for x in (t, tier)])
     q = questions(spark, sf_dir)
-    extra = ["answers"] if with_text else []
     base = (
-        q.select("clip", "qtype", "prompt", "is_secondary", "is_trick", "correct_index", "n_options", *extra,
+        q.select("clip", "qtype", "prompt", "is_secondary", "is_trick", "correct_index", "n_options", "answers",
                  F.explode(models).alias("m"))
         .select("*", "m.model", "m.style", "m.skill").drop("m")
         .withColumn("d", order_key(42, "r", F.col("model"), F.col("clip"), F.col("qtype"))))
@@ -216,7 +220,7 @@ def results(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFr
         .when(F.col("style") == "sentence", F.concat(F.lit("The answer is "), number, F.lit(".")))
         .otherwise(F.concat(number, F.lit(". because of the scene"))))
     return base.select(
-        "model", "clip", "qtype", "prompt", "is_secondary", "is_trick", "correct_index", "n_options", *extra,
+        "model", "clip", "qtype", "prompt", "is_secondary", "is_trick", "correct_index", "n_options", "answers",
         F.when(F.col("fate") < 2, F.lit(None)).when(F.col("fate") < 5, "unable to tell").otherwise(said).alias("response"),
         F.when(F.col("fate") >= 5, F.col("pick")).alias("selected"),
         ((F.col("fate") >= 5) & (F.col("pick") == F.col("correct_index"))).alias("is_correct"),
