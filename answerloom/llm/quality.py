@@ -18,7 +18,7 @@ from .common import SPACES, words_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words that lie in repeated 3-word windows
-MAX_LOST = 0.3  # share of the lines' characters in removed lines
+MAX_LOST = 0.5  # share of the lines' characters in removed lines
 SYMBOL = "[#*$%&|<>]"
 
 # Phrases of page furniture and licence notes, matched in lower case.
