@@ -24,8 +24,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def shingles_of(words: Column, n: int) -> Column:
     """One 64-bit hash for each window of n words, in order; a shorter text is one window, an empty one none."""
+    return bound(words, lambda held: _shingles(held, n))
+
+
+def _shingles(words: Column, n: int) -> Column:
     size = F.size(words)
     windows = F.transform(
         F.sequence(F.lit(1), size - n + 1), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(n)]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, sharding, urlfilter
+from . import bpe, langid, ngramjoin, quality, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,8 @@ select doc_id, size::bigint as size, xor(list_reduce(list_prepend(4294967295::bi
 from halves""")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
