@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngramjoin, quality, sharding, urlfilter
+from . import bpe, chat, decontam, langid, ngramjoin, quality, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,29 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_tool_calls", sql="""
+with said as (select conv_id, turn, role, min(text) as text from conversations
+    where conv_id is not null and turn is not null and role is not null group by all),
+calls as (select conv_id, turn, text from said where role = 'user'),
+results as (select conv_id, turn - 1 as turn, text, true as there from said where role = 'assistant'),
+starts as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2 order by turn) as nth from calls),
+levels as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, turn - 2 * nth order by turn) - 1 as level from starts),
+linked as (select conv_id, turn, c.text as asked, r.text as given, c.conv_id is not null as called, coalesce(r.there, false) as answered
+    from (select conv_id, turn, text from calls) c full join results r using (conv_id, turn))
+select conv_id, 'turn-' || turn as call_id, level, case when called then turn else turn + 1 end as turn,
+    case when not called then 'orphan result' when answered then 'linked' else 'no result' end as status,
+    called and coalesce(length(asked) >= 1, false) and turn >= 0 as valid,
+    '{"arguments":' || case when called then '{' || case when asked is null then '' else '"text":' || to_json(asked)::varchar || ',' end
+        || '"turn":' || turn || '}' else 'null' end
+        || ',"id":"turn-' || turn || '","name":' || case when called then '"reply"' else 'null' end
+        || ',"result":' || coalesce(to_json(given)::varchar, 'null') || '}' as message
+from linked left join levels using (conv_id, turn)""")
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
