@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, ngramjoin, quality, sharding, urlfilter
+from . import bpe, chat, decontam, langid, linedup, ngramjoin, quality, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ select conv_id, 'turn-' || turn as call_id, level, case when called then turn el
 from linked left join levels using (conv_id, turn)""")
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_removed_lines", "text")
