@@ -6,7 +6,8 @@ that it holds lies whole in one. A passage is a query. Terms' greatest impacts b
 per block of items, and what may still reach the threshold is scored by the postings. Impacts are divided by the
 item's own score, so one threshold serves all items.
 
-A retrieved item counts as a leak if the passage holds enough of its question's and of its answer's word 5-grams.
+A retrieved item counts as a leak if the passage holds enough of its question's and of its answer's word 5-grams, or
+some of the answer's and enough of all.
 The answer is the part after the last question mark or, without one, the last quarter of the words.
 
 Defined cases: a null or empty text, on either side, has no leaks; items shorter than five words are compared by
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-ITEMS_PER_INDEX = 4096
-ITEMS_PER_BLOCK = 16
+ITEMS_PER_INDEX = 1024
+ITEMS_PER_BLOCK = 4
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # of the item's own BM25 score
 SHINGLE = 5
-QUESTION, ANSWER = 0.8, 0.5  # least shares of 5-grams found in the passage
+QUESTION, ANSWER = 0.8, 0.5  # least shares of 5-grams found in the passage; the whole item may reach QUESTION instead
 LEAK = "doc_id bigint, item_id bigint, passage bigint, score double, question_overlap double, answer_overlap double"
 
 
@@ -64,7 +65,7 @@ class Index:
     item_ids: list[int]
     terms: dict[str, int]
     bound: np.ndarray  # greatest impact per term; the last entry, for unknown words, is 0
-    block_bounds: list[tuple[np.ndarray, np.ndarray]]  # per term: blocks and their greatest impacts
+    block_bounds: np.ndarray  # terms x blocks of items: greatest impacts
     postings: list[tuple[np.ndarray, np.ndarray]]  # per term: items and impacts
     parts: list[tuple[set, set]]
     width: int
@@ -84,10 +85,9 @@ class Index:
             for w, v in own.items():
                 found[terms[w]].append((at, v / whole))
         postings = [(np.array([i for i, _ in f]), np.array([v for _, v in f])) for f in found]
-        blocks = []
-        for at, value in postings:
-            keys = np.unique(at // ITEMS_PER_BLOCK)
-            blocks.append((keys, np.array([value[at // ITEMS_PER_BLOCK == k].max() for k in keys])))
+        blocks = np.zeros((len(terms), -(-len(items) // ITEMS_PER_BLOCK)), np.float32)
+        for term, (at, value) in enumerate(postings):
+            np.maximum.at(blocks[term], at // ITEMS_PER_BLOCK, value * (1 + 1e-6))  # rounding must not lower a bound
         return Index([i for i, _ in items], terms, np.array([*(v.max() for _, v in postings), 0.0]), blocks, postings,
                      [question_and_answer(t) for _, t in items], int(2 * max(lens, default=1)))
 
@@ -97,13 +97,13 @@ class Index:
         starts = np.arange(0, max(1, len(ids) - step), step)
         sums = np.concatenate(([0.0], np.cumsum(self.bound[ids])))
         likely = starts[sums[np.minimum(starts + self.width, len(ids))] - sums[starts] >= threshold]
-        out, blocks, n = [], -(-len(self.item_ids) // ITEMS_PER_BLOCK), len(self.item_ids)
+        out, n = [], len(self.item_ids)
         for start in likely.tolist():
             own = np.unique(ids[start: start + self.width])
             own = own[own < len(self.terms)]
             if self.bound[own].sum() < threshold:
                 continue
-            open_blocks = _sums([self.block_bounds[t] for t in own], blocks) >= threshold
+            open_blocks = self.block_bounds[own].sum(0) >= threshold
             if not open_blocks.any():
                 continue
             scores = _sums([self.postings[t] for t in own], n)
@@ -117,14 +117,16 @@ def leaks_of(index: Index, text: str | None, threshold: float = THRESHOLD) -> li
     tokens = words(text)
     if not tokens or not index.item_ids:
         return []
-    ids = np.fromiter((index.terms.get(w, len(index.terms)) for w in tokens), np.int64, len(tokens))
+    find, unknown = index.terms.get, len(index.terms)
+    ids = np.array([find(w, unknown) for w in tokens])
     best: dict[int, tuple] = {}
     passages: dict[int, set] = {}
     for start, item, score in index.search(ids, threshold):
         if start not in passages:
             passages[start] = grams(tokens[start: start + index.width])
         asked, answered = (len(p & passages[start]) / len(p) for p in index.parts[item])
-        if asked >= QUESTION and answered >= ANSWER:
+        both = index.parts[item][0] | index.parts[item][1]
+        if answered and (asked >= QUESTION and answered >= ANSWER or len(both & passages[start]) >= QUESTION * len(both)):
             best[item] = max(best.get(item, ()), (score, -start, asked, answered))
     return [(index.item_ids[i], -b[1], b[0], b[2], b[3]) for i, b in sorted(best.items())]
 

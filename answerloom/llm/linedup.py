@@ -69,10 +69,10 @@ def suffix_ranks(firsts: DataFrame) -> tuple[DataFrame, int]:
         ahead = F.lead("rank", step).over(Window.partitionBy("sid").orderBy("i"))
         paired = settle(state.withColumn("ahead", ahead).withColumnRenamed("rank", "own"))
         pairs = paired.select("own", "ahead").distinct()
-        numbered = settle(sorted_ordinal(pairs, ["own", "ahead"], "rank"))
+        numbered = sorted_ordinal(pairs, ["own", "ahead"], "rank")
         same = F.col("p.own").eqNullSafe(F.col("q.own")) & F.col("p.ahead").eqNullSafe(F.col("q.ahead"))
-        state = settle(paired.alias("p").join(numbered.alias("q"), same).select(
-            "p.sid", "p.i", "p.left", F.concat("p.ranks", F.array("q.rank")).alias("ranks"), "q.rank"))
+        state = paired.alias("p").join(numbered.alias("q"), same).select(
+            "p.sid", "p.i", "p.left", F.concat("p.ranks", F.array("q.rank")).alias("ranks"), "q.rank")
         step, levels = 2 * step, levels + 1
     return settle(state), levels
 
@@ -81,8 +81,7 @@ def neighbours(suffixes: DataFrame, levels: int) -> DataFrame:
     """The suffix array without equal suffixes: ordinal, sid, i of the first occurrence, left, and lcp with the one before."""
     place = F.struct("sid", "i")
     classes = suffixes.groupBy("rank").agg(F.min(F.struct(place.alias("place"), "left")).alias("f"))
-    array = sorted_ordinal(classes.select("rank", F.col("f.place.sid").alias("sid"), F.col("f.place.i").alias("i"), F.col("f.left").alias("left")), ["rank"], "ordinal")
-    array = settle(array)
+    array = settle(sorted_ordinal(classes.select("rank", F.col("f.place.sid").alias("sid"), F.col("f.place.i").alias("i"), F.col("f.left").alias("left")), ["rank"], "ordinal"))
     before = array.select((F.col("ordinal") + 1).alias("ordinal"), F.col("sid").alias("sid_b"), F.col("i").alias("i_b"))
     pairs = settle(array.join(before, "ordinal", "left").withColumn("lcp", F.lit(0)))
     for level in reversed(range(levels)):
@@ -93,7 +92,9 @@ def neighbours(suffixes: DataFrame, levels: int) -> DataFrame:
             two, (F.col("sid_b") == F.col("s2")) & (F.col("i_b") + F.col("lcp") == F.col("p2")), "left")
         span = 1 << level
         equal = (F.col("r1") == F.col("r2")) & (F.col("l1") >= span) & (F.col("l2") >= span)
-        pairs = settle(met.select("ordinal", "sid", "i", "left", "sid_b", "i_b", (F.col("lcp") + F.when(equal, span).otherwise(0)).alias("lcp")))
+        pairs = met.select("ordinal", "sid", "i", "left", "sid_b", "i_b", (F.col("lcp") + F.when(equal, span).otherwise(0)).alias("lcp"))
+        if level % 3 == 0:
+            pairs = settle(pairs)  # keeps the plans short
     return pairs.select("ordinal", "sid", "i", "left", "lcp")
 
 
