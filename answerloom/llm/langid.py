@@ -109,10 +109,8 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     return fit([(r["lang"], np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(np.float32)) for r in drawn]) if drawn else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, lang_pred and score of every row. Only `text` is an input of the prediction."""
-    small_batches(docs.sparkSession)
-
+def _predictor(model: Model | None):
+    """A column function: text to (lang, score)."""
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -126,5 +124,19 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 scores[some] = np.clip(found.max(1), 0, 1)
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    found = docs.select(*keep, predict("text").alias("_found"))
-    return found.select(*keep, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    return predict
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred and score of every row. Only `text` is an input of the prediction."""
+    small_batches(docs.sparkSession)
+    found = docs.select("doc_id", _predictor(model)("text").alias("_found"))
+    return found.select("doc_id", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows, with all their columns, whose language is found with a score of at least `least`."""
+    small_batches(docs.sparkSession)
+    found = docs.withColumn("_language_found", _predictor(model)("text"))
+    return found.filter(
+        (F.col("_language_found.lang") != "und") & (F.col("_language_found.score") >= least)).drop("_language_found")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, linedup, ngramjoin, quality, sharding, urlfilter
+from . import bpe, chat, decontam, htmltext, langid, linedup, ngramjoin, quality, sharding, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,8 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_removed_lines", "text")
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
