@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,16 +160,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return found
 
 
+def _leaky(index: Index, threshold: float):
+    @F.pandas_udf("boolean")
+    def leaky(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(leaks_of(index, t, threshold)) for t in texts], dtype=bool)
+
+    return leaky
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns."""
     small_batches(docs.sparkSession)
     clean = docs
     for items in item_blocks(benchmark):
-        index = Index.of(items)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts, index: Index = index):
-            return texts.map(lambda t: bool(leaks_of(index, t, threshold))).astype(bool)
-
-        clean = clean.filter(~leaks("text"))
+        clean = clean.filter(~_leaky(Index.of(items), threshold)("text"))
     return clean
