@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-QUERY_BYTES = 400_000  # bytes of distinct words in one recursive query
+QUERY_BYTES = 250_000  # bytes of distinct words in one recursive query
 LONG_WORD = 96  # longer words contract all safe occurrences of a pair in a round
-CACHE_WORDS = 400_000  # words a worker remembers; the cache is emptied when it is full
-DECODE_TOKENS = 1_000_000  # ids in one decoding query, one document at least
+CACHE_WORDS = 200_000  # words a task remembers; the cache is emptied when it is full
+ENCODE_CHARS = 2_000_000  # characters of the texts encoded together, one document at least
+DECODE_TOKENS = 400_000  # ids in one decoding query, one document at least
 ENCODED = "doc_id bigint, ids array<int>"
 
 ENCODE = """
@@ -54,18 +55,18 @@ select word, list(id order by pos) as ids from step join last using (word, round
 LONG_ROUND = """
 create or replace temp table long_next as
 with pairs as (
-  select word, pos, id, lead(id) over w as nid, row_number() over w as at from long_words window w as (partition by word order by pos)),
+  select word, pos, id, lead(id) over w as nid, row_number() over w as place from long_words window w as (partition by word order by pos)),
 ranked as (
-  select p.word, p.pos, p.at, m.rank, m.safe, min(m.rank) over (partition by p.word) as least
+  select p.word, p.pos, p.place, m.rank, m.safe, min(m.rank) over (partition by p.word) as least
   from pairs p join merges m on m.pair = p.id::bigint * 65536 + p.nid),
 hits as (
-  select word, pos, at, rank, safe, row_number() over (partition by word order by pos) as nth from ranked where rank = least),
-runs as (select *, row_number() over (partition by word, at - nth order by pos) as in_run from hits),
-picked as (select word, at, rank from runs where (safe and in_run % 2 = 1) or nth = 1)
+  select word, pos, place, rank, safe, row_number() over (partition by word order by pos) as nth from ranked where rank = least),
+runs as (select *, row_number() over (partition by word, place - nth order by pos) as in_run from hits),
+picked as (select word, place, rank from runs where (safe and in_run % 2 = 1) or nth = 1)
 select p.word, p.pos, coalesce(c.rank, p.id)::int as id
-from pairs p left join picked c on p.word = c.word and p.at = c.at
-left join picked g on p.word = g.word and p.at = g.at + 1
-where g.at is null
+from pairs p left join picked c on p.word = c.word and p.place = c.place
+left join picked g on p.word = g.word and p.place = g.place + 1
+where g.place is null
 """
 
 DECODE = """
@@ -84,21 +85,24 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.spaces = re.compile(r" \s|\s ")
-        rows = [
-            (self.ranks[token[:i]] * 65536 + self.ranks[token[i:]], rank, self.ranks[token[:i]], self.ranks[token[i:]])
-            for token, rank in self.ranks.items() for i in range(1, len(token))
-            if token[:i] in self.ranks and token[i:] in self.ranks]
-        unsafe = {part for _, rank, *parts in rows for part in parts if rank < part}
+        parts = (
+            (a, b, rank) for token, rank in self.ranks.items() for i in range(1, len(token))
+            if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None)
+        left, right, merged = np.fromiter((n for part in parts for n in part), np.int64).reshape(-1, 3).T
+        unsafe = np.unique(np.concatenate((left[merged < left], right[merged < right])))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self.load("merges", pa.table({
-            "pair": pa.array([r[0] for r in rows], pa.int64()), "rank": pa.array([r[1] for r in rows], pa.int32()),
-            "safe": [r[1] not in unsafe for r in rows]}))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.load("merges", pa.table({"pair": left * 65536 + right, "rank": merged.astype(np.int32), "safe": ~np.isin(merged, unsafe)}))
         self.load("vocab", pa.table({
             "id": pa.array(list(self.ranks.values()), pa.int32()), "token": [t.decode("latin-1") for t in self.ranks]}))
         self.first: dict[str, bytes] = {}  # pieces at a text's start
         self.spaced: dict[str, bytes] = {}  # pieces after a space
 
+    def close(self) -> None:
+        """Give the memory back: Python workers outlive their tasks."""
+        self.db.close()
+        self.first, self.spaced, self.ranks = {}, {}, {}
+
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register("loaded", rows)
         self.db.execute(f"create or replace temp table {name} as select * from loaded")
@@ -183,16 +187,6 @@ class Codec:
         return [out.get(i, "").encode("latin-1") for i in range(len(ids))]
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec per Python worker."""
-    if (ranks_path, pattern) not in _CODECS:
-        _CODECS[ranks_path, pattern] = Codec(ranks_path, pattern)
-    return _CODECS[ranks_path, pattern]
-
-
 def _chunks(sizes: list[int], most: int) -> Iterator[slice]:
     start = total = 0
     for i, n in enumerate(sizes):
@@ -209,15 +203,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks_path, pattern)
+        coder = Codec(ranks_path, pattern)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for part in _chunks(list(map(len, texts)), 4_000_000):
+            for part in _chunks(list(map(len, texts)), ENCODE_CHARS):
                 found = coder.encode(texts[part])
                 ends = np.cumsum([0, *[len(f) // 4 for f in found]]).astype(np.int32)
                 ids = pa.array(np.frombuffer(b"".join(found), "<i4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part], pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "ids"])
+        coder.close()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ENCODED)
 
@@ -227,7 +222,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks_path, pattern)
+        coder = Codec(ranks_path, pattern)
         for batch in batches:
             lists = batch.column(1)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -238,12 +233,33 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     batch.column(0)[part], pa.array([len(r) for r in own], pa.int64()),
                     pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in own]),
                     pa.array(coder.decode(own), pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded"])
+        coder.close()
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids, and report doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    decoded = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode, decode the ids, and report doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    One Python task does both, so that no second one with tables of its own runs beside it.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Codec(ranks_path, pattern)
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            for part in _chunks(list(map(len, texts)), ENCODE_CHARS):
+                ids = coder.encode(texts[part])
+                decoded = []
+                for some in _chunks([len(i) // 4 for i in ids], DECODE_TOKENS):
+                    decoded += [hashlib.sha256(d).hexdigest() for d in coder.decode([np.frombuffer(i, "<u4") for i in ids[some]])]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0)[part], pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.close()
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
