@@ -10,6 +10,8 @@ from ..session import settle
 
 HOT_SHARE = 1000  # a key is hot above 1/1000 of all rows, so at most 1000 keys are
 
+REPORT_SIZE = 1000  # up to here Spark trims groups before the shuffle
+
 
 def _same(a: str, b: str, cols) -> Column:
     out = F.lit(True)
@@ -90,9 +92,13 @@ def running_total(df: DataFrame, order, value: str, out: str = "running") -> Dat
 
 
 def top_k(df: DataFrame, k: int, order, by=()) -> DataFrame:
-    """The first k rows per group; Spark trims to k per group before the shuffle."""
-    if k > 1000:
-        raise ValueError("top_k is for report-sized k; use hash_rank for large samples")
+    """The first k rows per group in a total order.
+
+    For report-sized k Spark trims to k per group before the shuffle; beyond that a range sort numbers the rows, so
+    that no group has to fit in one task (this runs jobs while the plan is built).
+    """
+    if k > REPORT_SIZE:
+        return sorted_ordinal(df, order, "_rn", by).filter(F.col("_rn") < k).drop("_rn")
     window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= k).drop("_rn")
 

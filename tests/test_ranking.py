@@ -103,3 +103,13 @@ def test_shards_cover_everything(spark):
                 "floor_chunk": [min(i // base, 6) if base else 6 for i in range(total)],
             }[rule]
             assert got == want, (rule, total)
+
+
+def test_top_k_beyond_report_size(spark):
+    from answerloom.operators.ranking import top_k
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
+    got = top_k(df, 1500, [F.col("id").desc()], ["g"])
+    assert got.columns == ["g", "id"]
+    assert sorted(r["id"] for r in got.collect()) == list(range(2000, 5000))
