@@ -3,7 +3,8 @@
 Shingles are ordered by how frequent their class is (counts of hashed shingles over all rows), rare ones first.
 A set's prefix is extended until it holds more signatures than the set may lose shingles: a rare shingle is a
 signature by itself, frequent ones sign in combinations of two or three, so no very frequent shingle gathers a long
-list. Two sets that reach the threshold share a signature. Equal sets are one class from the start.
+list. Two sets that reach the threshold share a signature, which is in the shorter prefix that the smaller set needs.
+Equal sets are one class from the start.
 
 Links are found in rounds: in each list of a signature the members meet one leader, and what has linked need not
 meet again. The pairs that are left over after the star rounds, in different components, are then compared in full.
@@ -32,7 +33,7 @@ from .graph import components
 
 BUCKETS = 1 << 20  # classes of shingles whose frequency is counted
 FREQUENT = (8, 128)  # a class is frequent, or very frequent, above these times the mean count
-PARTS = 64  # of the frequent classes; combinations are formed inside a part
+PARTS = (64, 16, 4, 1)  # of the frequent classes, one number after the other; combinations are formed inside a part
 STAR_ROUNDS = 2
 BINS = 512  # of the histograms that bound an overlap
 SETS = "doc_id bigint, n bigint, class bigint, histogram binary"
@@ -99,8 +100,8 @@ def described_sets(docs: DataFrame, n: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, SETS)
 
 
-def frequent_classes(docs: DataFrame, n: int, times: int = FREQUENT[0]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with more than `times` the mean count, at most BUCKETS / times of them, and their counts over the mean."""
+def class_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """For each of BUCKETS classes of shingles its count over the mean count; 0 up to the mean. Fixed in size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -110,62 +111,75 @@ def frequent_classes(docs: DataFrame, n: int, times: int = FREQUENT[0]) -> tuple
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
     counts = settle(_texts(docs).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")))
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
-    rows = counts.filter(F.col("n") > times * max(mean, 1.0)).collect()
-    rows.sort(key=lambda r: r["bucket"])
-    return np.array([r["bucket"] for r in rows], np.int64), np.array([r["n"] / max(mean, 1.0) for r in rows])
+    mean = max((counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS, 1.0)
+    above = counts.filter(F.col("n") > mean).toArrow()  # at most BUCKETS rows of 12 bytes, whatever the input
+    out = np.zeros(BUCKETS, np.float32)
+    out[above["bucket"].to_numpy()] = above["n"].to_numpy() / mean
+    return out
+
 
+def losses(size: int, percent: int) -> tuple[int, int]:
+    """Shingles that a set of this size may lack in a partner that is no smaller, and in any partner."""
+    return size - -(-2 * percent * size // (100 + percent)), size - -(-percent * size // 100)
 
-def prefix_signatures(shingles: np.ndarray, weight: np.ndarray, lose: int, times=FREQUENT, parts: int = PARTS) -> list[int]:
-    """Signatures of one set. weight: 0 for rare shingles, else the class count over the mean; lose: shingles a partner may lack.
 
-    A group of p shingles that sign in k-combinations loses all its signatures only with p - k + 1 of its shingles,
-    so the prefix ends when these numbers add up to more than `lose`.
+def prefix_signatures(shingles: np.ndarray, weight: np.ndarray, lose: tuple[int, int], times=FREQUENT, parts=PARTS) -> tuple[list[int], int]:
+    """Signatures of one set, and how many of them, from the front, suffice for partners that are no smaller.
+
+    weight: the class count over the mean, by which shingles are ordered; lose: see `losses`. A group of p shingles
+    that sign in k-combinations loses all its signatures only with p - k + 1 of its shingles, so the prefix ends when
+    these numbers add up to more than may be lost. Of two close sets, the one whose prefix ends first has a signature
+    that the other one has as well. A set that is used up before goes on with fewer and larger groups, at last with
+    single shingles; two close sets that are both used up meet there.
     """
     order = np.lexsort((shingles, weight))
-    ordered, heavy = shingles[order].tolist(), weight[order]
-    level = np.where(heavy == 0, 1, np.searchsorted(np.asarray(times[1:]), heavy) + 2).tolist()
-    taken: dict[tuple[int, int], list[int]] = {}
-    out, signs = [], 0
-    for s, k in zip(ordered, level, strict=True):
-        if k == 1:
-            out.append(s)
-            signs += 1
-        else:
-            group = taken.setdefault((k, s % parts), [])
-            out.extend(hash((k, *some, s)) & 0x7FFFFFFFFFFFFFFF for some in itertools.combinations(group, k - 1))
-            group.append(s)
-            signs += len(group) >= k
-        if signs > lose:
-            break
-    return out
+    ordered = shingles[order].tolist()
+    level = (np.searchsorted(np.asarray(times), weight[order]) + 1).tolist()
+    out: list[int] = []
+    short = None
+    for groups in (*parts, 0):
+        taken: dict[tuple[int, int], list[int]] = {}
+        signs = 0
+        for s, k in zip(ordered, level, strict=True):
+            if k == 1 or not groups:
+                out.append(s)
+                signs += 1
+            else:
+                group = taken.setdefault((k, s % groups), [])
+                out.extend(hash((k, *some, s)) & 0x7FFFFFFFFFFFFFFF for some in itertools.combinations(group, k - 1))
+                group.append(s)
+                signs += len(group) >= k
+            if short is None and signs > lose[0]:
+                short = len(out)
+            if signs > lose[1]:
+                return out, short
+    return out, len(out)
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, class and n: one row per signature of every set with at least two shingles."""
-    buckets, counts = frequent_classes(docs, n)
+    """sig, class, n and short (enough for partners that are no smaller): the signatures of every set with at least two shingles."""
+    counts = class_counts(docs, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes, keys = [], [], []
+            found, short, sizes, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, n)
                 if len(own) < 2:
                     continue  # a set of one links with equal sets only, which are one class
-                weight = np.zeros(len(own))
-                if len(buckets):
-                    at = np.minimum(np.searchsorted(buckets, own % BUCKETS), len(buckets) - 1)
-                    weight = np.where(buckets[at] == own % BUCKETS, counts[at], 0.0)
-                found.append(prefix_signatures(own, weight, len(own) - -(-percent * len(own) // 100)))
+                signs, first = prefix_signatures(own, counts[own % BUCKETS], losses(len(own), percent))
+                found.append(signs)
+                short.append(np.arange(len(signs)) < first)
                 sizes.append(len(own))
                 keys.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
             lens = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(lens))),
-                pa.array(np.repeat(np.array(keys, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int64), lens))],
-                ["sig", "class", "n"])
+                pa.array(np.repeat(np.array(keys, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int64), lens)),
+                pa.array(np.concatenate([np.zeros(0, bool), *short]))],
+                ["sig", "class", "n", "short"])
 
-    return _texts(docs).mapInArrow(run, "sig bigint, class bigint, n bigint")
+    return _texts(docs).mapInArrow(run, "sig bigint, class bigint, n bigint, short boolean")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -218,7 +232,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     ids = described.select("doc_id", "n", "class")
     rows = settle(signatures(docs, n, percent))
     lists = settle(rows.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("sig"))
-    listed = settle(rows.join(lists, "sig").distinct())  # copies have the same rows
+    listed = settle(rows.join(lists, "sig").groupBy("sig", "class", "n").agg(F.max("short").alias("short")))  # copies have the same rows
     named = settle(ids.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     bins = settle(
         described.join(named.select(F.col("doc_id").alias("_first"), F.col("class").alias("_class")),
@@ -230,7 +244,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             marked = listed.withColumn("own", F.col("class"))
         else:
             marked = settle(listed.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select(
-                "sig", "class", "n", F.coalesce("component", "class").alias("own")))
+                "sig", "class", "n", "short", F.coalesce("component", "class").alias("own")))
         draw = F.struct(F.xxhash64("class", F.lit(turn)), "class", "n", "own")
         leads = settle(
             marked.groupBy("sig").agg(F.min(draw).alias("lead"), F.min("own").alias("low"), F.max("own").alias("high"))
@@ -238,9 +252,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         left = marked.select("sig", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
         right = leads
         if turn == STAR_ROUNDS:
-            right = settle(marked.join(leads.select("sig"), "sig").select(
+            right = settle(marked.filter("short").join(leads.select("sig"), "sig").select(
                 "sig", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b")))
         pairs = left.join(right, "sig").filter((F.col("own_a") != F.col("own_b")) & _close(F.col("n_a"), F.col("n_b"), percent))
+        if turn == STAR_ROUNDS:
+            pairs = pairs.filter("n_b <= n_a")  # the smaller one's short prefix meets the other's whole prefix
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if pairs.isEmpty():
             break

@@ -60,21 +60,31 @@ def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join(documents(spark, []).limit(0)).count() == 0
 
 
-def test_prefix_signatures_meet_for_all_close_sets():
+@pytest.mark.parametrize("weights", [(0.0, 20.0, 500.0), (500.0, 500.0, 500.0), (20.0, 20.0, 20.0), (0.0, 0.0, 3.0)])
+@pytest.mark.parametrize("percent", [90, 80])
+def test_prefix_signatures_meet_for_all_close_sets(weights, percent):
     import numpy as np
 
-    rnd = np.random.default_rng(1)
-    for _ in range(300):
+    def sign(s):
+        found, short = ngramjoin.prefix_signatures(s, np.choose(s % 3, weights), ngramjoin.losses(len(s), percent))
+        return set(found[:short]), set(found)
+
+    rnd, met = np.random.default_rng(1), 0
+    for _ in range(2000):
         n = int(rnd.integers(2, 120))
         a = np.unique(rnd.integers(0, 1 << 40, n))
         b = a.copy()
-        b[rnd.integers(0, len(b), max(1, len(a) // 20))] = rnd.integers(0, 1 << 40)
-        b = np.unique(b)
+        at = rnd.integers(0, len(b), int(rnd.integers(1, max(2, len(a) // 8))))
+        b[at] = rnd.integers(0, 1 << 40, len(at))
+        b = np.unique(b[rnd.integers(0, 3) * (len(b) > 30):])
         both = len(np.intersect1d(a, b))
-        if 100 * both < 90 * len(np.union1d(a, b)) or np.array_equal(a, b):
+        if 100 * both < percent * len(np.union1d(a, b)) or np.array_equal(a, b):
             continue
-        sign = lambda s: set(ngramjoin.prefix_signatures(s, np.where(s % 3 == 0, 0.0, np.where(s % 3 == 1, 20.0, 500.0)), len(s) - -(-90 * len(s) // 100)))
-        assert sign(a) & sign(b)
+        small, large = sorted((sign(a), sign(b)), key=lambda x: len(x[1])) if len(a) == len(b) else (sign(a), sign(b)) if len(a) < len(b) else (sign(b), sign(a))
+        assert small[0] & large[1]
+        assert len(a) != len(b) or large[0] & small[1]
+        met += 1
+    assert met > 400
 
 
 def test_quality(spark):
