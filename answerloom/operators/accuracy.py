@@ -217,10 +217,14 @@ def type_matrix(df: DataFrame, types) -> DataFrame:
     return all_rows.withColumn("row_mean", F.try_divide(total, F.size(present).cast("double")))
 
 
-def paired_delta(a: DataFrame, b: DataFrame, key, by: str = "qtype") -> DataFrame:
-    """D21. The same questions under two conditions: accuracy of both and the difference in points."""
-    both = a.select(*key, by, F.col("is_correct").alias("ok_a")).join(
-        b.select(*key, F.col("is_correct").alias("ok_b")), list(key))
+def paired_delta(a: DataFrame, b: DataFrame, key, order, by: str = "qtype") -> DataFrame:
+    """D21. The same questions under two conditions: accuracy of both and the difference in points.
+
+    A key that is answered more than once meets its n-th answer in `order` with the n-th one of the other side.
+    """
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("_nth")
+    both = a.select(*key, by, F.col("is_correct").alias("ok_a"), nth).join(
+        b.select(*key, F.col("is_correct").alias("ok_b"), nth), [*key, "_nth"])
     out = both.groupingSets([[by], []], by).agg(
         F.count("*").alias("total"), F.count_if("ok_a").alias("right_a"), F.count_if("ok_b").alias("right_b"))
     pct = lambda n: F.round(n * 100.0 / F.greatest(F.col("total"), F.lit(1)), 2)
@@ -229,15 +233,16 @@ def paired_delta(a: DataFrame, b: DataFrame, key, by: str = "qtype") -> DataFram
         pct(F.col("right_b")).alias("shuffled"), pct(F.col("right_b") - F.col("right_a")).alias("delta"))
 
 
-def stage_transitions(df: DataFrame, stage_order: dict) -> DataFrame:
+def stage_transitions(df: DataFrame, stage_order: dict, order) -> DataFrame:
     """D22/H8. FIXED or REGRESSED between consecutive stages that both answered the question.
 
     A question's row per stage is bounded by the number of stages; it is laid out as one
-    column per stage by conditional aggregation, with the last row of a repeated key kept.
+    column per stage by conditional aggregation, with the last row in `order` of a repeated key kept.
     """
     stages = sorted(stage_order, key=stage_order.get)
     wide = df.groupBy("clip", "prompt").agg(*[
-        F.max(F.when(F.col("stage") == s, F.col("is_correct").cast("int"))).alias(s) for s in stages])
+        F.max_by(F.when(F.col("stage") == s, F.col("is_correct").cast("int")), F.when(F.col("stage") == s, F.struct(*order))).alias(s)
+        for s in stages])
     steps = [
         F.struct(F.lit(f"{a}->{b}").alias("step"),
                  F.when((F.col(a) == 1) & (F.col(b) == 0), "REGRESSED").when((F.col(a) == 0) & (F.col(b) == 1), "FIXED")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +96,22 @@ def label_bank(bank: DataFrame, clips: DataFrame) -> DataFrame:
     return labelled.select("clip", "qtype", "prompt", "pos", "option", F.when(right, "correct").otherwise(F.col("label")).alias("label"))
 
 
+def with_labels(bank: DataFrame, clips: DataFrame) -> DataFrame:
+    """`bank` with `option_hardness` filled in by J10 for the questions that have none."""
+    if "option_hardness" not in bank.columns:
+        bank = bank.withColumn("option_hardness", F.lit(None).cast("array<string>"))
+    asked = ["clip", "qtype", "prompt", "answers", "correct_answer", "correct_index"]
+    people = clips.select("clip", "aggressor", "victim", "action", "bystanders", "environment")
+    opts = bank.filter("option_hardness is null").select(*asked).distinct().select("*", F.posexplode("answers").alias("pos", "option"))
+    right = (F.col("pos") == F.col("correct_index")) | (F.col("option") == F.col("correct_answer"))
+    one = F.struct("pos", F.when(right, "correct").otherwise(F.col("label")).alias("label"))
+    made = label_options(opts.join(people, "clip")).groupBy(*asked).agg(F.array_sort(F.collect_list(one)).alias("_made"))
+    made = made.select(*[F.col(c).alias(f"_{c}") for c in asked], F.transform("_made", lambda o: o["label"]).alias("_labels"))
+    same = reduce(and_, [F.col(c) == F.col(f"_{c}") if c == "clip" else F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked])
+    return bank.join(made, same & F.col("option_hardness").isNull(), "left").select(
+        *[F.coalesce("option_hardness", "_labels").alias(c) if c == "option_hardness" else F.col(c) for c in bank.columns])
+
+
 def rank_rejected(options: Column, model_correct: Column, strategy: str, n: int) -> Column:
     """H4. The n options to reject, from an array of (index, text, label).
 
@@ -112,24 +131,32 @@ def rank_rejected(options: Column, model_correct: Column, strategy: str, n: int)
 
 
 def preference_pairs(bank: DataFrame, clips: DataFrame, train: DataFrame, outcomes: DataFrame | None = None,
-                     chains: DataFrame | None = None, strategy: str = "fixed", n: int = 5) -> DataFrame:
+                     chains: DataFrame | None = None, strategy: str = "fixed", n: int = 5, outcome_order=(), chain_order=()) -> DataFrame:
     """J6. Chosen answer against the selected distractors, for training clips with an annotation.
 
-    Labels come from the bank; a bank without them is labelled by `label_bank` beforehand.
+    Labels come from the bank; a bank without that column is labelled first (`with_labels`, which needs the people in
+    `clips`). Of repeated outcomes and chains the last one counts: outcomes in `outcome_order`, chains in `chain_order`.
     """
     rows = (
         bank.filter(~F.col("is_secondary") & ~F.col("is_trick"))
         .filter((F.col("correct_index") >= 0) & (F.col("correct_index") < F.size("answers")))
         .join(train.select("clip"), "clip", "left_semi").join(clips.select("clip"), "clip", "left_semi"))
+    if "option_hardness" not in bank.columns:
+        rows = with_labels(rows, clips)
     if outcomes is not None:
+        if not outcome_order:
+            raise ValueError("outcome_order says which of two outcomes of a question is the last one")
         known = outcomes.filter(F.col("is_correct").isNotNull()).groupBy("clip", "prompt").agg(
-            F.bool_and("is_correct").alias("_ok"))
+            F.max_by("is_correct", F.struct(*outcome_order)).alias("_ok"))
         rows = rows.join(known, ["clip", "prompt"], "left")
     else:
         rows = rows.withColumn("_ok", F.lit(None).cast("boolean"))
     if chains is not None:
-        used = chains.filter("used_cot").select("clip", "question_index", "reasoning_chain")
-        rows = rows.join(last_per_key(used, ["clip", "question_index"], ["reasoning_chain"]), ["clip", "question_index"], "left")
+        if not chain_order:
+            raise ValueError("chain_order says which of two chains of a question is the last one")
+        used = chains.filter("used_cot").select("clip", "question_index", "reasoning_chain", F.struct(*chain_order).alias("_order"))
+        last = last_per_key(used, ["clip", "question_index"], ["_order"]).drop("_order")
+        rows = rows.join(last, ["clip", "question_index"], "left")
     else:
         rows = rows.withColumn("reasoning_chain", F.lit(None).cast("string"))
     options = F.filter(

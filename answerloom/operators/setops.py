@@ -11,10 +11,9 @@ from .. import constants as K
 from .ranking import first_per_key, last_per_key
 
 
-def match_bank(results: DataFrame, bank: DataFrame, key=("clip", "prompt"), order=None, columns=()) -> DataFrame:
+def match_bank(results: DataFrame, bank: DataFrame, key=("clip", "prompt"), *, order, columns=()) -> DataFrame:
     """F1. Results with bank columns; the bank is reduced to its last row per key first (F2)."""
-    side = bank.select(*key, *columns, *([] if order is None else order))
-    index = last_per_key(side, list(key), order or list(columns))
+    index = last_per_key(bank.select(*key, *columns, *order), list(key), order)
     return results.join(index.select(*key, *[F.col(c).alias(f"bank_{c}") for c in columns]), list(key))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.matching import option_properties
 from .accuracy import map_column, percent
-from .ranking import lookup, running_total, top_k
+from .ranking import last_per_key, lookup, running_total, top_k
 
 
 def value_distribution(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
@@ -160,14 +160,15 @@ def frequent_answers(bank: DataFrame, k: int = 20) -> DataFrame:
     return per.orderBy(F.desc("n"), "answer").limit(k)
 
 
-def frequency_shortcut(results: DataFrame, bank: DataFrame) -> DataFrame:
+def frequency_shortcut(results: DataFrame, bank: DataFrame, order) -> DataFrame:
     """E17. How often a model chose an option that is the most (or least) frequent text of its question.
 
-    Text counts come from primary questions. Options look their count up with hot texts
+    Of a repeated (clip, prompt) the last row in `order` counts. Text counts come from primary questions. Options look their count up with hot texts
     broadcast and the rest shuffled; a question's few options are gathered again by its key.
     """
     text = F.lower(F.trim("option"))
-    opts = bank.select("clip", "prompt", "is_secondary", F.posexplode("answers").alias("pos", "option")).withColumn(
+    last = last_per_key(bank.select("clip", "prompt", "is_secondary", "answers", *order), ["clip", "prompt"], order)
+    opts = last.select("clip", "prompt", "is_secondary", F.posexplode("answers").alias("pos", "option")).withColumn(
         "text", text)
     seen = opts.groupBy("text").agg(
         F.count_if(~F.col("is_secondary")).alias("freq"), F.count("*").alias("_rows"))

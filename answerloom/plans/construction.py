@@ -14,6 +14,7 @@ from ..operators import bank as bk
 from ..operators import prep
 from ..operators import setops as so
 from ..operators.sampling import sample_exact
+from .preparation import _ORD, SPLIT_SQL, indexed, splits
 from .registry import query
 from .view_sql import sql
 from .views import clips, person_arrays, questions, raw_annotations, results, table
@@ -231,6 +232,21 @@ def labelled_bank(spark, sf):
     return prep.label_bank(questions(spark, sf), clips(spark, sf)).select("clip", "qtype", "pos", "label")
 
 
+@query("preference_pairs_unlabelled", sql(_LABEL_SQL.rstrip() + SPLIT_SQL + f"""
+, e as (select q.clip, q.qtype, q.correct_index, q.correct_answer, unnest(range(n_options)) pos, unnest(answers) txt
+        from questions q join split s using (clip) where not is_secondary and not is_trick and s.split = 'train'),
+k as (select e.*, label, row_number() over (partition by clip, qtype order by {_ORD['fixed']}, pos) r
+      from e join lab using (clip, qtype, pos) where label <> 'correct')
+select clip, qtype, correct_index, string_agg(chr((65 + pos)::int) || ') ' || txt || ' [' || label || ']', ' ## ' order by r) rejected
+from k where r <= 3 group by all""", "questions"))
+def preference_pairs_unlabelled(spark, sf):
+    """J6 on a bank that carries no labels."""
+    train = splits(spark, sf).filter("split = 'train'")
+    pairs = prep.preference_pairs(indexed(questions(spark, sf)).drop("option_hardness"), clips(spark, sf), train, n=3)
+    shown = F.array_join(F.transform("rejected", lambda r: F.concat(r["answer"], F.lit(" ["), r["hardness"], F.lit("]"))), " ## ")
+    return pairs.select("clip", "qtype", "correct_index", shown.alias("rejected"))
+
+
 @query("answer_prefixes", sql("""
 , o as (select clip, qtype, unnest(range(n_options)) pos, unnest(answers) o from questions)
 select clip, qtype, pos, case when contains(o, '; ') then trim(split_part(o, '; ', 1)) when regexp_matches(o, '(?s)^.+ in ') then trim(regexp_extract(o, '(?s)^(.+) in ', 1)) end prefix from o""", "questions"))

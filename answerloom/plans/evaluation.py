@@ -14,6 +14,7 @@ from .registry import query
 from .view_sql import sql
 from .views import MODELS, VIEW_TYPES, clips, questions, results, table
 
+ONCE = ["qtype"]  # the view issues each question once, so any order names its last row
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
 
@@ -30,7 +31,7 @@ def rounded(df, *cols):
 select model, tier, label, n, sum(n) over (partition by model, tier)::bigint errors,
        round(n * 100.0 / sum(n) over (partition by model, tier), 6) share from t""", "results", tiers=True))
 def distractor_vulnerability_by_tier(spark, sf):
-    found = att.with_tier(att.attribute_errors(results(spark, sf), questions(spark, sf)))
+    found = att.with_tier(att.attribute_errors(results(spark, sf), questions(spark, sf), order=ONCE))
     return rounded(att.error_shares(found, ["model", "tier"]), "share")
 
 
@@ -436,7 +437,7 @@ _WRONG = """
 , c as (select model, lb[selected + 1] label, count(*) n from w where lb[selected + 1] <> 'correct' group by all)
 select *, sum(n) over (partition by model)::bigint errors, round(n * 100.0 / sum(n) over (partition by model), 6) share from c""", "results"))
 def distractor_vulnerability(spark, sf):
-    return rounded(att.error_shares(att.attribute_errors(results(spark, sf), questions(spark, sf))), "share")
+    return rounded(att.error_shares(att.attribute_errors(results(spark, sf), questions(spark, sf), order=ONCE)), "share")
 
 
 @query("distractor_type_analysis", sql(_WRONG.format(more="and selected is not null and error is null") + """
@@ -444,7 +445,7 @@ def distractor_vulnerability(spark, sf):
 t as (select *, sum(n) over (partition by model)::bigint errors from c)
 select *, round(n * 100.0 / errors, 6) share from t where label is not null""", "results"))
 def distractor_type_analysis(spark, sf):
-    found = att.attribute_errors(results(spark, sf), questions(spark, sf), "type_analysis")
+    found = att.attribute_errors(results(spark, sf), questions(spark, sf), "type_analysis", order=ONCE)
     return rounded(att.error_shares(found, denominator="all"), "share")
 
 
@@ -452,7 +453,7 @@ def distractor_type_analysis(spark, sf):
 , c as (select model, qtype, lb[selected + 1] label, count(*) n from w where not sec group by all)
 select *, sum(n) over (partition by model, qtype)::bigint errors, round(n * 100.0 / sum(n) over (partition by model, qtype), 6) share from c""", "results"))
 def distractor_type_analysis_by_type(spark, sf):
-    found = att.attribute_errors(results(spark, sf), questions(spark, sf), "type_analysis")
+    found = att.attribute_errors(results(spark, sf), questions(spark, sf), "type_analysis", order=ONCE)
     return rounded(att.error_shares(found, ["model", "qtype"]), "share")
 
 
@@ -460,7 +461,7 @@ def distractor_type_analysis_by_type(spark, sf):
 , c as (select model, lb[selected + 1] label, count(*) n from w group by all)
 select *, sum(n) over (partition by model)::bigint errors, round(n * 100.0 / sum(n) over (partition by model), 6) share from c""", "results"))
 def hardness_error_share(spark, sf):
-    found = att.attribute_errors(results(spark, sf), questions(spark, sf), "hardness_error")
+    found = att.attribute_errors(results(spark, sf), questions(spark, sf), "hardness_error", order=ONCE)
     return rounded(att.error_shares(found), "share")
 
 
@@ -472,7 +473,7 @@ select model, case when selected is null then 'bad_index' when lb is null then '
 def attribution_skip_reasons(spark, sf):
     """Against a bank that lacks the groups g_1..., so that unmatched answers occur."""
     bank = questions(spark, sf).filter(~F.col("group_id").startswith("g_1"))
-    return att.skip_reasons(att.attribute_errors(results(spark, sf), bank))
+    return att.skip_reasons(att.attribute_errors(results(spark, sf), bank, order=ONCE))
 
 
 @query("accuracy_given_label", sql("""
@@ -484,7 +485,7 @@ def accuracy_given_label(spark, sf):
 
 
 def acc_given(spark, sf):
-    return att.accuracy_given_label(results(spark, sf), questions(spark, sf))
+    return att.accuracy_given_label(results(spark, sf), questions(spark, sf), ONCE)
 
 
 _LABEL_GRID = ", ".join(f"('{x}')" for x in K.REPORTED_LABELS)
@@ -498,7 +499,7 @@ sh as (select {{sby}}, lab.label, coalesce(d.n, 0) * 100.0 / s.errors share from
 
 
 def _shares(spark, sf, by):
-    found = att.with_tier(att.attribute_errors(results(spark, sf), questions(spark, sf)))
+    found = att.with_tier(att.attribute_errors(results(spark, sf), questions(spark, sf), order=ONCE))
     return att.dense_shares(found, by)
 
 
@@ -533,7 +534,7 @@ def paired_condition_delta(spark, sf):
     rows = results(spark, sf)
     b = rows.filter("model = 'atlas-70b'").select("clip", F.col("qtype").alias("asked"), "is_correct")
     a = rows.filter("model = 'atlas-8b'").withColumn("asked", F.col("qtype"))
-    return acc.paired_delta(a, b, ["clip", "asked"])
+    return acc.paired_delta(a, b, ["clip", "asked"], ["is_correct"])
 
 
 STAGES = {"sft": 1, "cot": 2, "dpo": 3}
@@ -558,7 +559,23 @@ select step, change, count(*) n from (
   from p a join p b on a.clip = b.clip and a.prompt = b.prompt and b.no = a.no + 1 where a.is_correct <> b.is_correct)
 group by all""", "results"))
 def stage_transitions(spark, sf):
-    return acc.stage_transitions(staged(spark, sf), STAGES).groupBy("step", "change").agg(F.count("*").alias("n"))
+    return acc.stage_transitions(staged(spark, sf), STAGES, ["qtype"]).groupBy("step", "change").agg(F.count("*").alias("n"))
+
+
+@query("stage_transitions_last_attempt", sql(_STAGED + """
+, tries as (select clip, prompt, stage, is_correct, 1 load from st
+            union all select clip, prompt, stage, not is_correct, 2 from st where ('0x' || substr(md5('42|retry|' || clip || stage), 1, 8))::bigint % 3 = 0),
+p as (select clip, prompt, case stage when 'sft' then 1 when 'cot' then 2 else 3 end no, stage, arg_max(is_correct, load) ok from tries group by all)
+select step, change, count(*) n from (
+  select a.stage || '->' || b.stage step, case when a.ok then 'REGRESSED' else 'FIXED' end change
+  from p a join p b on a.clip = b.clip and a.prompt = b.prompt and b.no = a.no + 1 where a.ok <> b.ok)
+group by all""", "results"))
+def stage_transitions_last_attempt(spark, sf):
+    """Some clips answered twice at a stage, the second time the other way."""
+    first = staged(spark, sf)
+    again = first.filter(hash_int(42, "retry", F.concat("clip", "stage")) % 3 == 0).withColumn("is_correct", ~F.col("is_correct"))
+    tries = first.withColumn("load", F.lit(1)).unionByName(again.withColumn("load", F.lit(2)))
+    return acc.stage_transitions(tries, STAGES, ["load"]).groupBy("step", "change").agg(F.count("*").alias("n"))
 
 
 @query("ablation_table", sql(_STAGED + """

@@ -9,6 +9,7 @@ from ..functions import freetext as ft
 from ..functions.hashing import hash_int, hex_int, order_key
 from ..functions.render import target_text
 from ..operators import accuracy as acc
+from ..operators import attribution as att
 from ..operators import prep
 from ..operators import sampling as smp
 from ..operators import setops as so
@@ -52,6 +53,21 @@ def reloaded_bank(spark, sf):
     return bank.withColumn("load", F.lit(1)).unionByName(again.withColumn("load", F.lit(2)))
 
 
+@query("error_labels_against_last_bank", sql("""
+, bank2 as (select clip, prompt, option_hardness, 1 load from questions
+            union all select clip, prompt, list_reverse(option_hardness), 2 from questions where group_id like 'g_2%'),
+bank as (select clip, prompt, arg_max(option_hardness, load) labels from bank2 group by all)
+select model, labels[selected + 1] label, count(*) n from results join bank using (clip, prompt)
+where not is_correct and selected is not null and labels[selected + 1] <> 'correct' group by all""", "results"))
+def error_labels_against_last_bank(spark, sf):
+    """D16 with the questions of some groups issued again, their labels turned round."""
+    bank = questions(spark, sf)
+    again = bank.filter(F.col("group_id").startswith("g_2")).withColumn("option_hardness", F.reverse("option_hardness"))
+    both = bank.withColumn("load", F.lit(1)).unionByName(again.withColumn("load", F.lit(2)))
+    found = att.attribute_errors(results(spark, sf), both, order=["load"])
+    return found.filter("label is not null").groupBy("model", "label").agg(F.sum("n").alias("n"))
+
+
 @query("accuracy_against_last_key", sql(_BANK2 + """
 select model, count(*) total, count_if(coalesce(selected = key, false)) correct, count_if(coalesce(selected = key, false)) / count(*)::double accuracy
 from results join bank using (clip, prompt) group by 1""", "results"))
@@ -469,9 +485,9 @@ _ORD = {
 
 
 def _pairs(spark, sf, strategy):
-    outcomes = results(spark, sf).filter("model = 'atlas-8b' and error is null").select("clip", "prompt", "is_correct")
+    outcomes = results(spark, sf).filter("model = 'atlas-8b' and error is null").select("clip", "prompt", "qtype", "is_correct")
     train = splits(spark, sf).filter("split = 'train'")
-    return prep.preference_pairs(indexed(questions(spark, sf)), clips(spark, sf), train, outcomes, strategy=strategy, n=3)
+    return prep.preference_pairs(indexed(questions(spark, sf)), clips(spark, sf), train, outcomes, strategy=strategy, n=3, outcome_order=["qtype"])
 
 
 def _pair_queries():

@@ -245,7 +245,7 @@ a as (select model, fs[selected + 1] = list_max(fs) m, fs[selected + 1] = list_m
 select model, count(*) answered, count_if(m) chose_most_frequent, count_if(l) chose_least_frequent,
   round(count_if(m) * 100.0 / count(*), 6) most_pct, round(count_if(l) * 100.0 / count(*), 6) least_pct from a group by 1""", "results"))
 def frequency_shortcut(spark, sf):
-    return rounded(st.frequency_shortcut(results(spark, sf), questions(spark, sf)), "most_pct", "least_pct")
+    return rounded(st.frequency_shortcut(results(spark, sf), questions(spark, sf), ["qtype"]), "most_pct", "least_pct")
 
 
 _QUOTA_ROWS = ", ".join(f"('{q}', '{c}', {K.CATEGORY_QUOTA[c]})" for q, c in K.TYPE_CATEGORY.items())

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from answerloom import constants as K
-from answerloom.operators import prep, setops
+from answerloom.operators import accuracy, attribution, prep, setops, stats
 
 SPREAD = [(i, f"text {i}", label) for i, label in enumerate(list(K.HARDNESS_PRIORITY)[:10])]
 HARD = ["role_reversal", "wrong_action", "wrong_victim"]
@@ -48,7 +48,7 @@ def test_preference_pairs(spark):
     clips = spark.createDataFrame([("v1",), ("v2",)], "clip string")
     train = spark.createDataFrame([("v1",)], "clip string")
     chains = spark.createDataFrame([("v1", 0, "because", True)], "clip string, question_index int, reasoning_chain string, used_cot boolean")
-    pairs = prep.preference_pairs(pair_bank(spark), clips, train, chains=chains, n=2).collect()
+    pairs = prep.preference_pairs(pair_bank(spark), clips, train, chains=chains, n=2, chain_order=["question_index"]).collect()
     assert len(pairs) == 1
     p = pairs[0]
     assert p.chosen.answer == "A) a" and p.chosen.reasoning == "because"
@@ -116,3 +116,35 @@ def test_complete_frames(spark):
     ex = spark.createDataFrame([("a.mp4",), ("b.mp4",)], "clip string")
     frames = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), ("b", 0), ("b", 5)], "stem string, frame_no int")
     assert [r.clip for r in prep.with_complete_frames(ex, frames, 2).collect()] == ["a.mp4"]
+
+
+def test_last_row_of_a_repeated_key_counts(spark):
+    labels = [["correct", "wrong_action"], ["correct", "cross_video"]]  # the last one is the smaller one
+    bank = spark.createDataFrame(
+        [("v", "p", "primary_action", 0, x, False, list("ab"), i) for i, x in enumerate(reversed(labels))] + [("v", "p", "primary_action", 0, labels[1], False, list("bb"), 9)],
+        "clip string, prompt string, qtype string, correct_index int, option_hardness array<string>, is_secondary boolean, answers array<string>, load int")
+    answers = spark.createDataFrame([("m", "v", "p", "primary_action", 1, False, None)], "model string, clip string, prompt string, qtype string, selected int, is_correct boolean, error string")
+    found = attribution.attribute_errors(answers, bank, order=["load"])
+    assert [r.label for r in found.collect()] == ["cross_video"]
+    assert [r.label for r in attribution.accuracy_given_label(answers, bank, ["load"]).collect()] == ["cross_video"]
+    shortcut = stats.frequency_shortcut(answers, bank, ["load"]).first()
+    assert (shortcut.answered, shortcut.chose_most_frequent) == (1, 1)
+
+
+def test_stages_and_conditions_with_repeated_answers(spark):
+    rows = spark.createDataFrame([("v", "p", "sft", True, 1), ("v", "p", "sft", False, 2), ("v", "p", "dpo", True, 1)], "clip string, prompt string, stage string, is_correct boolean, load int")
+    assert [(r.step, r.change) for r in accuracy.stage_transitions(rows, {"sft": 1, "dpo": 2}, ["load"]).collect()] == [("sft->dpo", "FIXED")]
+    twice = spark.createDataFrame([("v", "t", True, 1), ("v", "t", False, 2)], "clip string, qtype string, is_correct boolean, load int")
+    overall = {r.qtype: r for r in accuracy.paired_delta(twice, twice.withColumn("is_correct", F.lit(True)), ["clip"], ["load"]).collect()}["OVERALL"]
+    assert (overall.total, overall.normal, overall.shuffled) == (2, 50.0, 100.0)
+
+
+def test_pairs_of_an_unlabelled_bank(spark):
+    clips = spark.createDataFrame([("v1", "man in red", "woman in blue", "punch", ["student in cap"], None)],
+                                  "clip string, aggressor string, victim string, action string, bystanders array<string>, environment string")
+    one = ["man in red", "woman in blue", "student in cap", "nobody in sight at sea"]
+    bank = spark.createDataFrame([("v1", "aggressor_identification", 0, "p", one, one[0], 0, False, False)], BANK.replace("option_hardness array<string>, ", ""))
+    outcomes = spark.createDataFrame([("v1", "p", False, 1), ("v1", "p", True, 2)], "clip string, prompt string, is_correct boolean, load int")
+    pair = prep.preference_pairs(bank, clips, clips, outcomes, n=3, outcome_order=["load"]).first()
+    assert [r.hardness for r in pair.rejected] == ["role_reversal", "bystander_substitution", "cross_video"] and pair.model_correct
+    assert prep.with_labels(bank.limit(0), clips).count() == 0
