@@ -59,12 +59,12 @@ def other_group_counts(questions: DataFrame, train: DataFrame) -> DataFrame:
         .select("q.clip", "q.qtype", "q.is_trick", (F.col("total") - F.coalesce("own", F.lit(0))).alias("candidates")))
 
 
-def with_chains(examples: DataFrame, chains: DataFrame) -> DataFrame:
-    """F9. Attach reasoning where a chain was used."""
+def with_chains(examples: DataFrame, chains: DataFrame, order) -> DataFrame:
+    """F9. Attach reasoning where a chain was used, the last one in `order`."""
     used = chains.filter(F.col("used_cot") & F.col("reasoning_chain").isNotNull()).select(
-        "clip", "question_index", "reasoning_chain")
-    return examples.join(last_per_key(used, ["clip", "question_index"], ["reasoning_chain"]),
-                         ["clip", "question_index"], "left")
+        "clip", "question_index", "reasoning_chain", F.struct(*order).alias("_order"))
+    last = last_per_key(used, ["clip", "question_index"], ["_order"]).drop("_order")
+    return examples.join(last, ["clip", "question_index"], "left")
 
 
 def all_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -184,7 +184,7 @@ select clip, qtype, case when outcome = 'kept' then reasoning_chain end reasonin
 def examples_with_chains(spark, sf):
     made = prep.chain_outcomes(chain_table(spark, sf))
     examples = indexed(questions(spark, sf)).select("clip", "qtype", "question_index")
-    return so.with_chains(examples, made).select("clip", "qtype", "reasoning_chain")
+    return so.with_chains(examples, made, ["qtype"]).select("clip", "qtype", "reasoning_chain")
 
 
 @query("merged_chain_coverage", sql(_CHAINS + """
