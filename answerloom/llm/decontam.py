@@ -8,10 +8,11 @@ item's own score, so one threshold serves all items.
 
 A retrieved item counts as a leak if the passage holds enough of its question's and of its answer's word 5-grams, or
 some of the answer's and enough of all.
-The answer is the part after the last question mark or, without one, the last quarter of the words.
+The answer is the part after the last question mark or, without one, the last quarter of the words; a part of fewer
+than five words takes in neighbours of the other part.
 
-Defined cases: a null or empty text, on either side, has no leaks; items shorter than five words are compared by
-their whole word sequence; repeated items and documents give their rows once per item_id and document row; an empty
+Defined cases: a null or empty text, or one of punctuation only, on either side, has no leaks; items shorter than five
+words are compared by their whole word sequence, wherever it stands in a passage; repeated items and documents give their rows once per item_id and document row; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -47,11 +48,11 @@ def grams(tokens: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
 
 
 def question_and_answer(text: str) -> tuple[set, set]:
-    """5-grams of both parts; the answer's 5-grams may begin in the question, so that a short answer has some."""
+    """5-grams of both parts, which reach into the other part where one is shorter; a shorter item is one gram, twice."""
     head, mark, tail = text.rpartition("?")
     tokens = words(text)
     cut = len(words(head + mark)) if mark and tail.strip() else len(tokens) - max(1, len(tokens) // 4)
-    return grams(tokens[:cut]), grams(tokens[max(0, min(cut, len(tokens) - SHINGLE)):])
+    return grams(tokens[:max(cut, SHINGLE)]), grams(tokens[max(0, min(cut, len(tokens) - SHINGLE)):])
 
 
 def _sums(parts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
@@ -73,7 +74,7 @@ class Index:
 
     @staticmethod
     def of(items: list[tuple[int, str]]) -> Index:
-        items = sorted(((i, t) for i, t in items if words(t)), key=lambda x: (len(words(x[1])), x[0]))  # blocks of like lengths
+        items = sorted(((i, t) for i, t in items if any(words(t))), key=lambda x: (len(words(x[1])), x[0]))  # blocks of like lengths
         counts = [Counter(words(t)) for _, t in items]
         lens = np.array([sum(c.values()) for c in counts], float)
         df = Counter(w for c in counts for w in c)
@@ -121,13 +122,14 @@ def leaks_of(index: Index, text: str | None, threshold: float = THRESHOLD) -> li
     find, unknown = index.terms.get, len(index.terms)
     ids = np.array([find(w, unknown) for w in tokens])
     best: dict[int, tuple] = {}
-    passages: dict[int, set] = {}
+    passages: dict[tuple[int, int], set] = {}
     for start, item, score in index.search(ids, threshold):
-        if start not in passages:
-            passages[start] = grams(tokens[start: start + index.width])
-        asked, answered = (len(p & passages[start]) / len(p) for p in index.parts[item])
         both = index.parts[item][0] | index.parts[item][1]
-        if answered and (asked >= QUESTION and answered >= ANSWER or len(both & passages[start]) >= QUESTION * len(both)):
+        at = start, len(next(iter(both)))  # fewer than SHINGLE words in shorter items
+        if at not in passages:
+            passages[at] = grams(tokens[start: start + index.width], at[1])
+        asked, answered = (len(p & passages[at]) / len(p) for p in index.parts[item])
+        if answered and (asked >= QUESTION and answered >= ANSWER or len(both & passages[at]) >= QUESTION * len(both)):
             best[item] = max(best.get(item, ()), (score, -start, asked, answered))
     return [(index.item_ids[i], -b[1], b[0], b[2], b[3]) for i, b in sorted(best.items())]
 

@@ -159,6 +159,20 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_leak_wherever_they_stand(spark):
+    items = [(1, "Zanzibar"), (2, "quick brown fox"), (3, "one two three four five"), (4, "Who wrote Hamlet? William Shakespeare"),
+             (5, "Is the sea salty? Yes it is very much so indeed"), (6, "Why? Because"), (7, "?!"), (8, "Name a river that flows north? The Nile")]
+    rnd = random.Random(4)
+    rows = [doc(10 * i + k, " ".join((prose(rnd, k * 20), text, prose(rnd, k * 15))).strip()) for i, text in items for k in range(3)]
+    rows += [doc(900, "brown quick fox, one two four three five; who wrote it? William wrote Hamlet. is the sea salty ? !"), doc(901, "fox"), doc(902, None)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    plain = lambda text: f" {' '.join(decontam.words(text))} "
+    want = {(r[0], i) for r in rows for i, t in items if i != 7 and r[1] and plain(t) in plain(r[1])}
+    assert got == want and len(want) == 21
+    left = decontam.without_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [70, 71, 72, 900, 901, 902]
+
+
 def test_html(spark):
     page = ('<html><body><header><h1>Site</h1></header><div id="sidebar"><p>About us.</p></div><div class="content"><h1>Title</h1><p>Hello &amp; world,\n this is '
             'an article. It has text.</p><p>Second, with words.</div><section class="comments"><p>Nice one, thanks.</p></section></body></html>')
