@@ -259,7 +259,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             pairs = pairs.filter("n_b <= n_a")  # the smaller one's short prefix meets the other's whole prefix
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if pairs.isEmpty():
-            break
+            continue  # leaders may all differ too much in size; only the last round is exact
         found = _verified(pairs, bins, named, docs, n, percent)
         if not found.isEmpty():
             links = found if links is None else settle(links.union(found))

@@ -1,5 +1,6 @@
 """Small fixtures with nulls, repeats, empty tables and clashing column names, against brute force where there is one."""
 
+import hashlib
 import json
 import random
 import re
@@ -56,6 +57,26 @@ def test_ngram_join_equals_brute_force(spark):
     assert len({root[i] for i in root}) < len(root) - 10
 
 
+def test_ngram_join_past_leaders_of_another_size(spark):
+    def texts(seed):
+        rnd = random.Random(seed)
+        said = [f"w{rnd.random()}" for _ in range(100)]
+        other = " ".join(f"v{rnd.random()}" for _ in range(150))
+        return f"{' '.join(said)} {other}", " ".join(said), " ".join([*said[:50], "changed", *said[51:]]), other
+
+    def key(text):
+        return int.from_bytes(hashlib.blake2b(ngramjoin.shingle_set(text, 3).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+    sets = spark.createDataFrame([(i, *(key(t) for t in texts(i)[:3])) for i in range(40)], "seed int, a bigint, b bigint, c bigint")
+    for turn in range(ngramjoin.STAR_ROUNDS):  # the long text leads every list in each star round
+        draw = lambda x: f"xxhash64({x}, {turn})"  # noqa: B023, E731
+        sets = sets.filter(f"{draw('a')} < least({draw('b')}, {draw('c')})")
+    long, b, c, other = texts(sets.first()["seed"])
+    rows = [doc(1, long), doc(2, b), doc(3, c), *[doc(i, other) for i in range(4, 9)]]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, **dict.fromkeys(range(4, 9), 4)}
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join(documents(spark, []).limit(0)).count() == 0
 
