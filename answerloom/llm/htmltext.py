@@ -38,7 +38,9 @@ SIDE_WORDS = re.compile(
 AD_WORD = re.compile("(^|[^a-z])ads?([^a-z]|$)")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(^|\s)hidden(\s|=|$)|display\s*:\s*none""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)  # somewhere in the attributes; `is_hidden` looks where
+NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none(?![\w-])", re.I)
 SPACE = re.compile(r"\s+")
 
 ROUNDS, DEPTH, RATE, CUTS = 40, 3, 0.3, 16
@@ -54,6 +56,12 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether there is an attribute `hidden`, or a style without display; other attributes' values do not count."""
+    return bool(HIDDEN.search(attrs)) and any(
+        name.lower() == "hidden" or name.lower() == "style" and bool(NO_DISPLAY.search(a or b or c)) for name, a, b, c in ATTR.findall(attrs))
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree and its elements in page order; raw elements and comments leave no text."""
     root = Node("#root", "", None)
@@ -96,7 +104,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 here = up.parent
             elif tag in ("li", "tr", "td", "th", "dt", "dd") and up.tag == tag:
                 here = up.parent
-        node = Node(tag, " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"])).lower(), here, bool(HIDDEN.search(m["attrs"])))
+        node = Node(tag, " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"])).lower(), here, is_hidden(m["attrs"]))
         here.kids.append(node)
         nodes.append(node)
         here = here if m["attrs"].endswith("/") else node

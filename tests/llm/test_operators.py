@@ -204,6 +204,18 @@ def test_html(spark):
     assert text[1][0] == "Title Hello & world, this is an article. It has text. Second, with words."
 
 
+@pytest.mark.parametrize("attrs", ['title="The hidden river"', "data-t='a hidden lake'", 'class="md:block hidden lg:flex"', 'title="display:none"', "data-hidden=1"])
+def test_html_keeps_what_only_names_hidden(attrs):
+    _, nodes = htmltext.parse(f"<article {attrs}><p>Words.</p></article>")
+    assert not any(n.hidden for n in nodes)
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', 'title="a" hidden', 'style="color: red; DISPLAY : none"', "style=display:none", "hidden=until-found"])
+def test_html_drops_what_is_hidden(attrs):
+    _, nodes = htmltext.parse(f"<article><p {attrs}>Words.</p></article>")
+    assert [n.hidden for n in nodes] == [False, False, True]
+
+
 def test_tool_calls(spark):
     call = lambda i, after=None: {"id": i, "name": "reply", "arguments": {"turn": 1, "text": "x"}, "depends_on": after}
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (1, 2, "user", None), (1, 1, "assistant", "ho"), (2, 1, "assistant", "alone"), (None, 1, "user", "x"),
