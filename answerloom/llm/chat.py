@@ -6,8 +6,8 @@ result. Every other user message is a call of `reply` with the arguments text an
 assistant message of the next turn; it depends on the call two turns before it, if that is a user message too.
 
 Defined cases: messages with a null conv_id, turn or role make no calls; a null text is a null argument, which the
-schema refuses; repeated messages of one (conv_id, turn, role) count once, the least text winning; a call without
-result and a result without call are rows of their own; calls on a cycle have a null level; an empty table gives an
+schema refuses; equal messages count once; explicit calls and results of one id count once, the earliest winning, and
+of several plain messages of one (conv_id, turn, role) the least text counts, as in the SQL twin; a call without result and a result without call are rows of their own; calls on a cycle have a null level; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -23,11 +23,16 @@ SCHEMAS = {"reply": (("text", ("STRING",), 1), ("turn", ("BIGINT",), 0))}
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
-    """One message per conversation, turn and role."""
+    """The different messages of every conversation, turn and role."""
     kept = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text"
     ).filter("conv_id is not null and turn is not null and role is not null")
-    return kept.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    return kept.distinct()
+
+
+def _least(messages: DataFrame) -> DataFrame:
+    """One message per conversation and turn; a null text only where there is no other."""
+    return messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
 
 
 def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,13 +45,13 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.to_json(field("$.arguments", "variant")).alias("arguments"), field("$.depends_on").alias("depends_on")
     ).filter("id is not null").groupBy("conv_id", "id").agg(
         F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select("conv_id", "id", "c.*")
-    plain = messages.filter("role = 'user'").select(
+    plain = _least(messages.filter("role = 'user'")).select(
         "conv_id", F.concat(F.lit("turn-"), "turn").alias("id"), "turn", F.lit("reply").alias("name"),
         F.to_json(F.struct("text", "turn")).alias("arguments"), F.concat(F.lit("turn-"), F.col("turn") - 2).alias("depends_on"))
     given = parsed.filter("role = 'tool'").select(
         "conv_id", F.try_variant_get("json", "$.tool_call_id", "string").alias("id"), "turn",
         F.to_json(F.try_variant_get("json", "$.content", "variant")).alias("content")).filter("id is not null")
-    answers = parsed.filter(F.col("role") == "assistant").filter(asked.isNull()).select(
+    answers = _least(parsed.filter(F.col("role") == "assistant").filter(asked.isNull())).select(
         "conv_id", F.concat(F.lit("turn-"), F.col("turn") - 1).alias("id"), "turn", F.to_json(F.struct(F.col("text").alias("t"))).alias("content"))
     answers = answers.withColumn("content", F.expr("if(content = '{}', 'null', substring(content, 6, length(content) - 6))"))
     results = given.union(answers).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "content")).alias("r")).select(

@@ -216,6 +216,16 @@ def test_html_drops_what_is_hidden(attrs):
     assert [n.hidden for n in nodes] == [False, False, True]
 
 
+def test_calls_and_results_of_one_turn(spark):
+    calls = lambda *ids: json.dumps({"tool_calls": [{"id": i, "name": "reply", "arguments": {"text": "x", "turn": 1}} for i in ids]})
+    gives = lambda i: json.dumps({"tool_call_id": i, "content": i})
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", calls("a", "b")), (1, 1, "assistant", calls("c")), (1, 1, "assistant", "Wait."), (1, 1, "assistant", "Wait."),
+            *[(1, 2, "tool", gives(i)) for i in "abc"], (1, 2, "tool", gives("a"))]
+    got = chat.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert sorted((r["call_id"], r["status"]) for r in got) == [("a", "linked"), ("b", "linked"), ("c", "linked"), ("turn-0", "linked")]
+    assert {r["call_id"]: json.loads(r["message"])["result"] for r in got} == {"a": "a", "b": "b", "c": "c", "turn-0": "Wait."}
+
+
 def test_tool_calls(spark):
     call = lambda i, after=None: {"id": i, "name": "reply", "arguments": {"turn": 1, "text": "x"}, "depends_on": after}
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (1, 2, "user", None), (1, 1, "assistant", "ho"), (2, 1, "assistant", "alone"), (None, 1, "user", "x"),
