@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, htmltext, langid, linedup, ngramjoin, quality, sharding, urlfilter
+from . import bpe, chat, decontam, htmltext, langid, linedup, merkle, ngramjoin, quality, sharding, spelling, tokencount, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,83 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def _crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text expression."""
+    halves = f"flatten([[b & 15, b >> 4] for b in [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint for i in range(strlen({text}))]])"
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {halves}), lambda crc, half: "
+            f"xor(crc >> 4, ({_crc_steps()}::bigint[])[(xor(crc, half) & 15) + 1])), 4294967295)")
+
+
+@query("op11_spelling_variants", sql=f"""
+with recursive runs as (select coalesce(doc_id::varchar, '') as doc, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as raw from documents),
+held as (select doc, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs group by all),
+drawn as (select run, n, {_crc_sql("(doc || ':' || run)")} as h from held where length(run) >= 6),
+spelt as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from drawn),
+words as (select word, sum(n)::bigint as n from spelt where length(word) >= 6 group by word having sum(n) >= 5),
+cut as (select word, n, i, substr(word, 1, i) as head, substr(word, i + 2) as tail from (select word, n, unnest(range(length(word))) as i from words)),
+pairs as (
+    select a.word as a, b.word as b from cut a join cut b on a.i = b.i and a.head = b.head and a.tail = b.tail where a.word <> b.word
+    union select cut.word, words.word from cut join words on words.word = head || tail
+    union select words.word, cut.word from cut join words on words.word = head || tail),
+near as (select a, b, x.n as n_a, y.n as n_b from pairs join words x on x.word = a join words y on y.word = b),
+forms as (select a as word, b as form, n_b as form_n from near where n_b >= 5 * n_a qualify row_number() over (partition by a order by n_b desc, b) = 1),
+path(word, stop, depth) as (
+    select word, word, 0 from words union all select path.word, form, depth + 1 from path join forms on forms.word = path.stop),
+ends as (select word, arg_max(stop, depth) as root from path group by word),
+sums as (select a as word, count(*) as n_near from near group by a)
+select word, form, root, n, coalesce(n_near, 0)::bigint as n_near, form_n
+from words left join forms using (word) left join ends using (word) left join sums using (word)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def _field_sql(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value} end"
+
+
+@query("op12_merkle_manifest", sql=f"""
+with recursive docs as (select row_number() over () as row_id, *, coalesce({_crc_sql("(doc_id::varchar)")} % 5 = 0, false) as touched,
+    {" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))} as front,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered from documents),
+leaves as (select *, sha256(front || {_field_sql("text")}) as leaf from docs),
+placed as (select *, case when touched then sha256(front || {_field_sql("lowered")}) else leaf end as claimed,
+    dense_rank() over (order by source nulls first) - 1 as tree, count(*) over (partition by source) as size,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place from leaves),
+nodes(level, tree, idx, node, n) as (
+    select 0, tree, place, leaf, size from placed
+    union all
+    select level + 1, tree, idx // 16, sha256(string_agg(node, '' order by idx)), (n + 15) // 16 from nodes where n > 1 group by level, tree, idx // 16, n),
+subroots as (select tree, node from nodes where n = 1),
+tops(level, idx, node, n) as (
+    select 0, tree, node, (select count(*) from subroots) from subroots
+    union all
+    select level + 1, idx // 16, sha256(string_agg(node, '' order by idx)), (n + 15) // 16 from tops where n > 1 group by level, idx // 16, n),
+runs as (
+    select row_id, level as k, idx, node, place >> (4 * level) as own from placed join nodes on nodes.tree = placed.tree and n > 1
+        and idx >> 4 = place >> (4 * level + 4)
+    union all
+    select row_id, level + 1000, idx, node, tree >> (4 * level) from placed join tops on n > 1 and idx >> 4 = tree >> (4 * level + 4)),
+steps as (select row_id, row_number() over (partition by row_id order by k) as i,
+    coalesce(string_agg(node, '' order by idx) filter (idx < own), '') as before,
+    coalesce(string_agg(node, '' order by idx) filter (idx > own), '') as after from runs group by row_id, k),
+folded(row_id, i, node) as (
+    select row_id, 0::bigint, claimed from placed
+    union all
+    select folded.row_id, folded.i + 1, sha256(before || folded.node || after) from folded join steps on steps.row_id = folded.row_id and steps.i = folded.i + 1),
+proofs as (select row_id, string_agg(before || after, '' order by i) as beside from steps group by row_id),
+ends as (select row_id, arg_max(node, i) as folded_root from folded group by row_id)
+select doc_id, leaf, subroots.node as subroot, tops.node as root, sha256(coalesce(beside, '')) as proof_sha256, folded_root,
+    folded_root = tops.node as verified, tree as source_no
+from placed join subroots using (tree) join ends using (row_id) left join proofs using (row_id), tops where tops.n = 1""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

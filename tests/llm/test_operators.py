@@ -241,7 +241,7 @@ def test_tool_calls(spark):
     assert chat.link(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op10_tool_calls"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op10_tool_calls", "op11_spelling_variants", "op12_merkle_manifest"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
