@@ -9,6 +9,7 @@ dozen, and greedy rules run over them inside the row with array functions.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,7 @@ from .accuracy import map_column
 from .ranking import hash_rank, top_k
 
 lit = F.lit
+N_DISTRACTORS = 7
 
 
 # --- pools -------------------------------------------------------------------------------
@@ -117,10 +119,12 @@ class Pools:
         self.people = numbered(tidy(people), "people", seed)
         self.actions = numbered(tidy(base.select(F.col("act").alias("value"))).filter("lower(value) <> 'none'"), "actions", seed)
         self.places = numbered(tidy(base.select(F.col("env").alias("value"))), "places", seed)
-        donors = base.filter(any_specific(F.col("aggressor")) & any_specific(F.col("victim"))).select("clip", "agg", "vic", "env")
+        heads = [rd.filled_count(F.col(f)).alias(n) for f, n in (("aggressor", "d_na"), ("victim", "d_nv"))]
+        donors = base.filter(any_specific(F.col("aggressor")) & any_specific(F.col("victim"))).select("clip", "agg", "vic", "env", *heads)
         self.donors = settle(hash_rank(donors, ["clip"], seed=seed, op="donors", rank="_rank", size="pool_size").select(
-            "clip", F.col("agg").alias("d_agg"), F.col("vic").alias("d_vic"), F.col("env").alias("d_env"),
+            "clip", F.col("agg").alias("d_agg"), F.col("vic").alias("d_vic"), F.col("env").alias("d_env"), "d_na", "d_nv",
             (F.col("_rank") - 1).alias("no"), "pool_size"))
+        self._spares: list[dict[str, DataFrame]] | None = None
         tested = base.withColumns({
             "agg_ok": any_specific(F.col("aggressor")), "vic_ok": any_specific(F.col("victim")),
             "near": specific_people(F.col("bystander"))})
@@ -140,24 +144,44 @@ class Pools:
     def draw(self, rows: DataFrame, kind: str, number: Column) -> DataFrame:
         """Join the drawn entry on its number: kind is people, actions, places or donors."""
         pool = getattr(self, kind)
-        values = ["d_agg", "d_vic", "d_env"] if kind == "donors" else [f"new_{kind}"]
+        values = ["d_agg", "d_vic", "d_env", "d_na", "d_nv"] if kind == "donors" else [f"new_{kind}"]
         side = pool.select(F.col("no").alias("_no"), *(values if kind == "donors" else [F.col("value").alias(values[0])]))
         return rows.withColumn("_pick", number).join(side, F.col("_pick") == F.col("_no"), "left").drop("_pick", "_no")
 
     def draw_all(self, rows: DataFrame, nth: Column, *key: str) -> DataFrame:
         """One action, person, place and donor clip per row, none of them the clip's own.
 
-        Actions of one question differ from each other as long as the pool lasts; then NULL.
+        The first actions of a question differ from each other as long as the pool lasts; then NULL. Later ones, from
+        number N_DISTRACTORS on, go round among what those left.
         """
         at = lambda op: hash_int(self.seed, op, *[F.col(k) for k in key])
         n_act, n_people, n_place, n_donor = (self.size[k] for k in ("actions", "people", "places", "donors"))
         left = lit(n_act) - F.when(F.col("act_no").isNotNull(), 1).otherwise(0)
-        out = self.draw(rows, "actions", F.when(nth < left, skip(at("act") + nth, n_act, F.col("act_no"))))
+        later = N_DISTRACTORS + (nth - N_DISTRACTORS) % F.greatest(left - N_DISTRACTORS, lit(1))
+        turn = F.when(nth < left, nth).when((nth >= N_DISTRACTORS) & (left > N_DISTRACTORS), later)
+        out = self.draw(rows, "actions", skip(at("act") + turn, n_act, F.col("act_no")))
         out = self.draw(out, "people", skip(at("who") + nth, n_people, F.col("agg_no"), F.col("vic_no")))
         out = self.draw(out, "places", skip(at("where") + nth, n_place, F.col("env_no")))
         return self.draw(out, "donors", skip(at("donor") + nth, n_donor, F.col("donor_no")))
 
 
+    def spares(self) -> list[dict[str, DataFrame]]:
+        """Numbered values by slot for options beyond the recipe: those of other clips, then all people of the bank."""
+        if self._spares is None:
+            value = lambda df, name: df.select(F.col(name).alias("value")).filter("value is not null")
+            arrays = [F.col(f) for f in ("aggressor", "victim", "bystander")]
+            grid = self.clips.sparkSession.range(16).select((F.col("id") % 4).alias("a"), F.floor(F.col("id") / 4).alias("b"))
+            counted = lambda name, x, y: numbered(self.clips.select(rd.count_answers(*arrays)[name].alias("value")).union(grid.select(F.concat(
+                rd.plural(F.col("a"), x), lit(" and "), rd.plural(F.col("b"), y)))), name, self.seed)
+            found = {
+                "agg": numbered(value(self.donors, "d_agg"), "spare_agg", self.seed), "vic": numbered(value(self.donors, "d_vic"), "spare_vic", self.seed),
+                "by": numbered(value(self.clips.filter(F.size("near") > 0), "by"), "spare_by", self.seed), "act": self.actions, "env": self.places,
+                "av": counted("compound_aggressor_victim_count", "aggressor", "victim"),
+                "vb": counted("compound_victim_bystander_count", "victim", "bystander")}
+            self._spares = [found, found | dict.fromkeys(("agg", "vic", "by"), self.people)]
+        return self._spares
+
+
 def donor_clips(clips: DataFrame, seed: int = 42) -> DataFrame:
     """F8. For every clip another clip with a specific aggressor and victim."""
     pools = Pools(clips, seed)
@@ -307,19 +331,41 @@ def correct_answers(questions: DataFrame, clips: DataFrame) -> DataFrame:
     return styled(questions).join(slots(clips), "clip").select("clip", "qtype", rd.by_type(c("qtype"), table).alias("correct_answer"))
 
 
-def distractor_candidates(questions: DataFrame, pools: Pools, recipes: DataFrame) -> DataFrame:
-    """G8. One row per question and recipe slot with its candidate options in fallback order.
+#: The slots whose values a type's options show; av and vb are head counts.
+TYPE_SLOTS = {
+    "primary_action": ("act",), "aggressor_identification": ("agg",), "perspective_aggressor": ("agg",), "social_appropriateness": ("agg",),
+    "victim_recognition": ("vic",), "bystander_detection": ("by",), "scene_location": ("env",), "interaction_summary": ("act", "agg", "vic"),
+    "compound_aggressor_location": ("agg", "env"), "compound_action_victims": ("act", "vic"), "compound_action_aggressor": ("act", "agg"),
+    "compound_action_location": ("act", "env"), "compound_aggressor_victim": ("agg", "vic"), "compound_bystander_location": ("by", "env"),
+    "compound_aggressor_action_victim": ("act", "agg", "vic"), "sequence_verification": ("act", "agg", "vic"),
+    "compound_aggressor_victim_count": ("av",), "compound_victim_bystander_count": ("vb",)}
+ACTED = tuple(t for t, shown in TYPE_SLOTS.items() if "act" in shown)
+
+
+def with_defaults(recipes: DataFrame, n: int = N_DISTRACTORS) -> DataFrame:
+    """A type without a recipe asks for distractors from other clips only."""
+    return overlay_recipes(recipe_table(recipes.sparkSession, {t: {"cross_video": n} for t in TYPE_SLOTS}), recipes)
+
+
+def fits(used: Column, text: Column, act: Column, acted: Column) -> Column:
+    """G1/G2/G9. A text that is not used yet and, where the type shows actions, whose action stands in no used text."""
+    fresh = ~F.array_contains(used, F.lower(text))
+    return fresh & (~acted | act.isNull() | ~F.exists(used, lambda u: u.contains(F.lower(act))))
+
+
+def distractor_candidates(questions: DataFrame, pools: Pools, recipes: DataFrame, turn: int = 0) -> DataFrame:
+    """G8. One row per question and recipe slot with its candidate options in fallback order; a later turn draws other values.
 
     Each candidate is (label, text, action): the requested label first, then every easier one,
     then cross_video. Labels the clip cannot serve (generic people, an empty pool) are missing.
     A slot's action is its own, so options of a question never share one.
     """
     c = F.col
-    slots_of = F.broadcast(recipe_slots(recipes))  # at most seven rows per type
+    slots_of = F.broadcast(recipe_slots(with_defaults(recipes)))  # at most seven rows per type
     rows = styled(questions.select("clip", "qtype"), pools.seed).join(slots_of, "qtype").join(pools.clips, "clip")
     # the recipe's slots are taken in a seeded order, so that labels carry no position
     rows = rows.withColumn("_turn", order_key(pools.seed, "slot", c("clip"), c("qtype"), c("slot")))
-    rows = pools.draw_all(rows, c("slot"), "clip", "qtype")
+    rows = pools.draw_all(rows, c("slot") + turn * N_DISTRACTORS, "clip", "qtype")
     agg_ok, vic_ok, near = c("agg_ok"), c("vic_ok"), c("near")
     both, acted = agg_ok & vic_ok, c("new_actions").isNotNull()
     h = hash_int(pools.seed, "near", c("clip"), c("qtype"), c("slot"))
@@ -327,22 +373,26 @@ def distractor_candidates(questions: DataFrame, pools: Pools, recipes: DataFrame
     on_agg = F.when(both, F.floor(h / 16) % 2 == 0).otherwise(agg_ok)
     place = F.coalesce(c("new_places"), c("env"))
 
-    def entry(label, ok, agg=c("agg"), vic=c("vic"), env=c("env")):
+    n_agg, n_vic = rd.filled_count(c("aggressor")), rd.filled_count(c("victim"))
+
+    def entry(label, ok, agg=c("agg"), vic=c("vic"), env=c("env"), n_agg=n_agg, n_vic=n_vic):
         return F.when(F.coalesce(ok & acted, lit(False)), F.struct(
-            lit(label).alias("label"), agg.alias("agg"), vic.alias("vic"), env.alias("env"), c("new_actions").alias("act")))
+            lit(label).alias("label"), agg.alias("agg"), vic.alias("vic"), env.alias("env"), c("new_actions").alias("act"),
+            n_agg.cast("int").alias("n_agg"), n_vic.cast("int").alias("n_vic")))
 
     made = {
-        "role_reversal": entry("role_reversal", both, agg=c("vic"), vic=c("agg")),
+        "role_reversal": entry("role_reversal", both, agg=c("vic"), vic=c("agg"), n_agg=n_vic, n_vic=n_agg),
         "wrong_action": entry("wrong_action", lit(True)),
-        "wrong_victim": entry("wrong_victim", both & c("new_people").isNotNull(), vic=c("new_people")),
-        "wrong_aggressor": entry("wrong_aggressor", both & c("new_people").isNotNull(), agg=c("new_people")),
+        "wrong_victim": entry("wrong_victim", both & c("new_people").isNotNull(), vic=c("new_people"), n_vic=lit(1)),
+        "wrong_aggressor": entry("wrong_aggressor", both & c("new_people").isNotNull(), agg=c("new_people"), n_agg=lit(1)),
         "bystander_substitution": entry(
             "bystander_substitution", standin.isNotNull() & (agg_ok | vic_ok),
-            agg=F.when(on_agg, standin).otherwise(c("agg")), vic=F.when(on_agg, c("vic")).otherwise(standin)),
+            agg=F.when(on_agg, standin).otherwise(c("agg")), vic=F.when(on_agg, c("vic")).otherwise(standin),
+            n_agg=F.when(on_agg, 1).otherwise(n_agg), n_vic=F.when(on_agg, n_vic).otherwise(1)),
         "wrong_location": entry("wrong_location", c("new_places").isNotNull(), env=c("new_places")),
         "wrong_category": entry("wrong_category", lit(True), env=place),
         "cross_video": entry("cross_video", c("d_agg").isNotNull(), agg=c("d_agg"), vic=c("d_vic"),
-                             env=F.coalesce(c("d_env"), c("env"))),
+                             env=F.coalesce(c("d_env"), c("env")), n_agg=c("d_na"), n_vic=c("d_nv")),
     }
     order = {label: i for i, label in enumerate(K.FALLBACK_ORDER)}
     from_no = F.coalesce(map_column(order, c("label")), lit(-1))
@@ -353,7 +403,8 @@ def distractor_candidates(questions: DataFrame, pools: Pools, recipes: DataFrame
     static = map_column(K.NULL_ANSWERS, c("qtype"))
     render = lambda x: F.struct(
         x["label"].alias("label"),
-        rd.by_type(c("qtype"), rd.slot_answers(x["agg"], x["vic"], c("by"), x["act"], x["env"], c("style"), c("coin"))).alias("text"),
+        rd.by_type(c("qtype"), rd.slot_answers(x["agg"], x["vic"], c("by"), x["act"], x["env"], c("style"), c("coin")) | pair_counts(
+            x["n_agg"], x["n_vic"], rd.filled_count(c("bystander")))).alias("text"),
         x["act"].alias("act"))
     texts = F.transform("_chain", render)
     null_claim = F.struct(lit("none_claim").alias("label"), static.alias("text"), F.lit(None).cast("string").alias("act"))
@@ -361,23 +412,136 @@ def distractor_candidates(questions: DataFrame, pools: Pools, recipes: DataFrame
     return rows.select("clip", "qtype", "slot", "_turn", F.filter(texts, lambda x: x["text"].isNotNull()).alias("candidates"))
 
 
+def pair_counts(n_agg: Column, n_vic: Column, n_by: Column) -> dict[str, Column]:
+    return {
+        "compound_aggressor_victim_count": F.concat(rd.plural(n_agg, "aggressor"), lit(" and "), rd.plural(n_vic, "victim")),
+        "compound_victim_bystander_count": F.concat(rd.plural(n_vic, "victim"), lit(" and "), rd.plural(n_by, "bystander"))}
+
+
 def pick_distractors(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """G9. Fill the slots in turn: the first candidate whose text is not used yet.
+    """G9. Fill the slots in turn: the first candidate whose text is not used yet, and whose action no option shows.
 
     A question has at most seven slots of at most ten candidates; they are gathered by its key
-    and folded inside the row.
+    and folded inside the row. Slots that `_picked` already fills are left alone.
     """
     gathered = candidates.groupBy("clip", "qtype").agg(
         F.array_sort(F.collect_list(F.struct("_turn", "slot", "candidates"))).alias("_slots"))
-    rows = questions.join(gathered, ["clip", "qtype"])
-    empty = F.array().cast("array<struct<label:string,text:string,act:string>>")
+    rows = questions.join(gathered, ["clip", "qtype"], "left")
+    start = F.col("_picked") if "_picked" in questions.columns else F.array().cast(OPTIONS)
 
     def step(taken, slot):
-        used = F.concat(F.array(F.lower("correct_answer")), F.transform(taken, lambda t: F.lower(t["text"])))
-        free = F.filter(slot["candidates"], lambda x: ~F.array_contains(used, F.lower(x["text"])))
-        return F.concat(taken, F.slice(free, 1, 1))
+        free = F.filter(slot["candidates"], lambda x: fits(used_texts(taken), x["text"], x["act"], F.col("qtype").isin(*ACTED)))
+        found = F.transform(F.slice(free, 1, 1), lambda x: option(x["label"], x["text"], x["act"], slot["slot"]))
+        return F.when(F.exists(taken, lambda t: t["slot"] == slot["slot"]), taken).otherwise(F.concat(taken, found))
+
+    return rows.withColumn("_picked", F.coalesce(F.aggregate("_slots", start, step), start)).drop("_slots")
+
+
+OPTIONS = "array<struct<label:string,text:string,act:string,slot:int>>"
+
 
-    return rows.withColumn("_picked", F.aggregate("_slots", empty, step)).drop("_slots")
+def option(label: Column, text: Column, act: Column | None = None, slot: Column | None = None) -> Column:
+    act = F.lit(None) if act is None else act
+    return F.struct(label.alias("label"), text.alias("text"), act.cast("string").alias("act"), (F.lit(None) if slot is None else slot).cast("int").alias("slot"))
+
+
+def filled_by_recipe(asked: DataFrame, pools: Pools, recipes: DataFrame, allowed=lambda text: lit(True)) -> DataFrame:
+    """G8+G9. Adds _picked and _want (the recipe's size). A slot whose draws are all used, or whose action another option shows, draws once more.
+
+    `allowed` is a test of candidate texts over the columns of `asked`.
+    """
+    c = F.col
+    sizes = F.broadcast(recipe_slots(with_defaults(recipes)).groupBy("qtype").agg(F.count("*").alias("_want")))  # one row a type
+    rows = asked.join(sizes, "qtype").withColumn("_picked", F.array().cast(OPTIONS))
+    for turn in (0, 1):
+        short = rows if not turn else rows.filter(F.size("_picked") < c("_want"))
+        drawn = distractor_candidates(short, pools, recipes, turn).join(asked, ["clip", "qtype"])
+        drawn = drawn.withColumn("candidates", F.filter("candidates", lambda x: allowed(x["text"]))).select("clip", "qtype", "slot", "_turn", "candidates")
+        found = settle(pick_distractors(short, drawn))
+        rows = found if not turn else found.unionByName(rows.filter(F.size("_picked") >= c("_want")))
+    return rows
+
+
+def used_texts(taken: Column) -> Column:
+    return F.concat(F.array(F.lower("correct_answer")), F.transform(taken, lambda t: F.lower(t["text"])))
+
+
+def combination(k: Column, starts: list[Column], sizes: list[int]) -> list[Column]:
+    """The k-th combination of numbers below `sizes`. From k = 0 on each comes once, until all have come; numbers move together."""
+    out, below = [], 1
+    for start, size in zip(starts, sizes, strict=True):
+        both, common = below * size, math.lcm(below, size)
+        at = k % lit(both) if both < 1 << 62 else k
+        turn = F.floor(at / lit(common)) if common < 1 << 62 else lit(0)
+        out.append(F.pmod(start + at + turn, lit(size)))
+        below = both
+    return out
+
+
+def spare_options(short: DataFrame, pools: Pools, spare: dict[str, DataFrame], limits: dict[str, int], start: int, width: int) -> DataFrame:
+    """clip, qtype and _more: the options number `start` to `start + width - 1` of each question's own way through the spare values."""
+    c = F.col
+    sizes = {slot: pool_size(pool) for slot, pool in spare.items()}
+    tries = styled(short.select("clip", "qtype"), pools.seed).withColumn("k", F.explode(F.sequence(lit(start), lit(start + width - 1))))
+    tries = tries.filter(c("k") < map_column(limits, c("qtype")))
+    begin = lambda slot: hash_int(pools.seed, f"spare_{slot}", c("clip"), c("qtype"))
+    numbers: dict[str, dict[str, Column]] = {slot: {} for slot in spare}
+    for qtype, shown in TYPE_SLOTS.items():
+        if all(sizes[slot] for slot in shown):
+            for slot, number in zip(shown, combination(c("k"), [begin(s) for s in shown], [sizes[s] for s in shown]), strict=True):
+                numbers[slot][qtype] = number
+    for slot, by_qtype in numbers.items():
+        value = F.lit(None).cast("string").alias(f"s_{slot}")
+        if by_qtype:
+            side = spare[slot].select(c("no").alias("_no"), c("value").alias(f"s_{slot}"))
+            # other types draw nothing here; the number of a try keeps their rows apart
+            tries = tries.withColumn("_pick", rd.by_type(c("qtype"), by_qtype)).join(side, c("_pick") == c("_no"), "left").drop("_pick", "_no")
+        else:
+            tries = tries.withColumn(f"s_{slot}", value)
+    shown = rd.slot_answers(c("s_agg"), c("s_vic"), c("s_by"), c("s_act"), c("s_env"), c("style"), c("coin"))
+    shown |= {"compound_aggressor_victim_count": c("s_av"), "compound_victim_bystander_count": c("s_vb")}
+    tried = F.struct("k", rd.by_type(c("qtype"), shown).alias("text"), c("s_act").alias("act"))
+    return tries.groupBy("clip", "qtype").agg(F.array_sort(F.collect_list(tried)).alias("_more"))
+
+
+def refilled(picked: DataFrame, pools: Pools, forbidden: Column | None = None) -> DataFrame:
+    """G8/G9/G19/G21. Questions with fewer than `_want` options go on through the spare values until they are full or have seen all.
+
+    A question walks its type's values, or their combinations, in an order of its own in which none comes twice, so only
+    the few that it uses already are passed over. First come values of other clips, then all people of the bank, at last,
+    for sequences, sentences whose action another option has. A walk over actions ends when each has had its turn, as an
+    option must bring a new one. `forbidden` is one more text that no option may have. Runs jobs while the plan is built.
+    """
+    c = F.col
+    own = pools.clips.select("clip", F.lower("act").alias("_own_act"))
+    taken = picked.withColumn("_no_text", F.lower(forbidden) if forbidden is not None else F.lit(None).cast("string"))
+    columns = [*taken.columns]
+    for spare, repeats in ((pools.spares()[0], False), (pools.spares()[1], False), (pools.spares()[1], True)):
+        sizes = {slot: pool_size(pool) for slot, pool in spare.items()}
+        whole = {t: math.prod(sizes[s] for s in shown) for t, shown in TYPE_SLOTS.items() if not repeats or t == "sequence_verification"}
+        limits = {t: min(n, sizes["act"] if t in ACTED and not repeats else n, (1 << 31) - 1) for t, n in whole.items()}
+        limit = F.coalesce(map_column(limits, c("qtype")), lit(0))
+        taken = settle(taken)
+        short = F.size("_picked") < c("_want")
+        done, todo, start, width = [taken.filter(~short | (limit == 0))], taken.filter(short & (limit > 0)), 0, 16
+        while not todo.isEmpty():
+            more = spare_options(todo, pools, spare, limits, start, width)
+            acted = c("qtype").isin(*ACTED) & lit(not repeats)
+
+            def add(taken, m):
+                new = option(lit("cross_video"), m["text"], m["act"])
+                allowed = m["text"].isNotNull() & (F.size(taken) < c("_want")) & ~F.coalesce(F.lower(m["text"]) == c("_no_text"), lit(False))
+                unlike = ~acted | ~F.coalesce(F.lower(m["act"]) == c("_own_act"), lit(False))
+                return F.when(allowed & unlike & fits(used_texts(taken), m["text"], m["act"], acted), F.concat(taken, F.array(new))).otherwise(taken)
+
+            joined = todo.join(more, ["clip", "qtype"], "left").join(own, "clip", "left")
+            after = settle(joined.withColumn("_picked", F.when(c("_more").isNull(), c("_picked")).otherwise(F.aggregate("_more", c("_picked"), add))).select(columns))
+            start, width = start + width, width * 4
+            going = short & (limit > start)
+            done.append(after.filter(~going))
+            todo = after.filter(going)
+        taken = reduce(DataFrame.unionByName, done)
+    return taken.drop("_want", "_no_text")
 
 
 def unique_actions(df: DataFrame, texts: str, actions: str, spare: str) -> DataFrame:
@@ -432,43 +596,17 @@ def finished(df: DataFrame, trick: bool = False) -> DataFrame:
 
 
 def recipe_questions(questions: DataFrame, clips: DataFrame, recipes: DataFrame, pools: Pools | None = None) -> DataFrame:
-    """G8+G9+G22, also sequence questions (G21): the bank rows of the recipe strategy.
+    """G8+G9+G21+G22: the bank rows of the recipe strategy, also for sequence questions.
 
-    Types without a recipe (the counts) are left to `count_questions` and `override_questions`.
+    Role questions and the three role counts have strategies of their own (`role_questions`, `count_questions`).
     A question whose right answer already claims nothing is not asked.
     """
     pools = pools or Pools(clips)
-    asked = correct_answers(questions.select("clip", "qtype"), clips)
+    asked = correct_answers(questions.filter(F.col("qtype").isin(*TYPE_SLOTS)).select("clip", "qtype"), clips)
     null = map_column(K.NULL_ANSWERS, F.col("qtype"))
-    asked = asked.filter("correct_answer is not null").filter(
-        (F.col("qtype") == "sequence_verification") | ~similar_answers(F.col("correct_answer"), null))
-    picked = pick_distractors(asked, distractor_candidates(asked, pools, recipes))
-    return finished(topped_up(picked, pools))
-
-
-def topped_up(picked: DataFrame, pools: Pools, n: int = 7) -> DataFrame:
-    """G21. Sequence questions short of options get random (person, action, person) sentences."""
-    short = (F.col("qtype") == "sequence_verification") & (F.size("_picked") < n)
-    extra = styled(picked.filter(short).select("clip", "qtype"), pools.seed).withColumn(
-        "k", F.explode(F.sequence(lit(0), lit(2 * n - 1))))
-    h = lambda op: hash_int(pools.seed, op, F.col("clip"), F.col("k"))
-    people, actions = pools.size["people"], pools.size["actions"]
-    extra = pools.draw(extra, "people", skip(h("top_a"), people)).withColumnRenamed("new_people", "_a")
-    extra = pools.draw(extra, "people", skip(h("top_v"), people)).withColumnRenamed("new_people", "_v")
-    extra = pools.draw(extra, "actions", skip(h("top_act"), actions))
-    text = rd.sequence_text(F.col("_a"), F.col("new_actions"), F.col("_v"), F.col("style"))
-    more = extra.groupBy("clip", "qtype").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("k"), lit("cross_video").alias("label"), text.alias("text"), F.col("new_actions").alias("act")))).alias("_more"))
-    joined = picked.join(more, ["clip", "qtype"], "left")
-
-    def add(taken, m):
-        used = F.concat(F.array("correct_answer"), F.transform(taken, lambda t: t["text"]))
-        fits = (F.size(taken) < n) & m["text"].isNotNull() & ~F.array_contains(used, m["text"])
-        return F.when(fits, F.concat(taken, F.array(F.struct(
-            m["label"].alias("label"), m["text"].alias("text"), m["act"].alias("act"))))).otherwise(taken)
-
-    full = F.when(F.col("_more").isNull(), F.col("_picked")).otherwise(F.aggregate("_more", F.col("_picked"), add))
-    return joined.withColumn("_picked", full).drop("_more")
+    asked = settle(asked.filter("correct_answer is not null").filter(
+        (F.col("qtype") == "sequence_verification") | ~similar_answers(F.col("correct_answer"), null)))
+    return finished(refilled(filled_by_recipe(asked, pools, recipes), pools))
 
 
 # --- the other strategies ------------------------------------------------------------------------------
@@ -510,19 +648,23 @@ def count_questions(questions: DataFrame, clips: DataFrame) -> DataFrame:
     return finished(asked.withColumn("_picked", picked))
 
 
-def trick_questions(questions: DataFrame, pools: Pools, n: int = 7) -> DataFrame:
-    """G19. The null answer is right, every distractor comes from another clip; short questions
-    are padded with 'Option k' (sequence questions with random sentences)."""
-    spark = questions.sparkSession
-    types = [t for t in K.NULL_ANSWERS if t != "role_identification" and "count" not in t]
-    recipes = recipe_table(spark, {t: {"cross_video": n} for t in types})
-    asked = questions.filter(F.col("qtype").isin(*types)).select(
-        "clip", "qtype", map_column(K.NULL_ANSWERS, F.col("qtype")).alias("correct_answer"))
-    picked = topped_up(pick_distractors(asked, distractor_candidates(asked, pools, recipes)), pools, n)
+def trick_questions(questions: DataFrame, pools: Pools, n: int = N_DISTRACTORS) -> DataFrame:
+    """G19. The null answer is right, every distractor comes from another clip, and none is what the clip really shows.
+
+    Only where no value is left at all, 'Option k' fills up (sequence questions stay short).
+    """
+    c = F.col
+    types = [t for t in TYPE_SLOTS if "count" not in t]
+    recipes = recipe_table(questions.sparkSession, {t: {"cross_video": n} for t in types})
+    asked = questions.filter(c("qtype").isin(*types)).select("clip", "qtype", map_column(K.NULL_ANSWERS, c("qtype")).alias("correct_answer"))
+    clips = pools.clips.select("clip", "action", "aggressor", "victim", "bystander", "environment")
+    shown = correct_answers(asked.select("clip", "qtype"), clips).withColumnRenamed("correct_answer", "_shown")
+    asked = settle(asked.join(shown, ["clip", "qtype"], "left"))
+    picked = filled_by_recipe(asked, pools, recipes, lambda text: ~F.coalesce(F.lower(text) == F.lower("_shown"), lit(False)))
+    picked = refilled(picked, pools, c("_shown"))
     size = F.size("_picked")
-    pad = F.transform(F.sequence(size, lit(n - 1)), lambda i: F.struct(
-        lit("cross_video").alias("label"), F.concat(lit("Option "), (i + 2).cast("string")).alias("text"), F.lit(None).cast("string").alias("act")))
-    padded = F.when((size < n) & (F.col("qtype") != "sequence_verification"), F.concat("_picked", pad)).otherwise(F.col("_picked"))
+    pad = F.transform(F.sequence(size, lit(n - 1)), lambda i: option(lit("cross_video"), F.concat(lit("Option "), (i + 2).cast("string"))))
+    padded = F.when((size < n) & (c("qtype") != "sequence_verification"), F.concat("_picked", pad)).otherwise(c("_picked"))
     return finished(picked.withColumn("_picked", padded), trick=True)
 
 
