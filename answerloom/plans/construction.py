@@ -621,9 +621,6 @@ _SPARE_TYPES = ", ".join(f"('{t}')" for t in bk.TYPE_SLOTS)
 _ACTED = _lst(bk.ACTED)
 _h = lambda tag, rest="clip || '|' || qtype": f"('0x' || substr(md5('42|{tag}|' || {rest}), 1, 8))::bigint"
 _AT1 = lambda d, n, g: f"(case when {n} - ({g} is not null)::int > 0 then {_SKIP1(d, n, g)} end)"
-_AT2 = lambda d, n, a, b: (
-    f"(case when {n} - ({a} is not null)::int - ({b} is not null and {b} is distinct from {a})::int > 0 then list_filter(range({n}), lambda i: i is distinct from {a} and i is distinct from {b})"
-    f"[({d} % ({n} - ({a} is not null)::int - ({b} is not null and {b} is distinct from {a})::int)) + 1] end)")
 _SIZES = ("sz as (select (select coalesce(max(n), 0) from pp) npp, (select coalesce(max(n), 0) from pa) npa, (select coalesce(max(n), 0) from pe) npe, (select coalesce(max(n), 0) from dn) ndn)")
 _NONE_LIKE = lambda x: _has(x, K.NONE_KEYWORDS)
 _NULLS = "case qtype " + " ".join(f"when '{t}' then '{v.replace(chr(39), chr(39) * 2)}'" for t, v in K.NULL_ANSWERS.items()) + " end"
@@ -637,42 +634,52 @@ def _recipe_rows(recipes: dict) -> str:
                      for i, label in enumerate(label for label in sorted(r) for _ in range(r[label])))
 
 
-def _recipe_fill(recipes: dict) -> str:
-    """From aq (clip, qtype, correct_answer, no_text): filled, after two draws a slot."""
+def _recipe_turn(p: int) -> str:
+    """Draw number p of every slot of the questions in fold{p - 1}, and the fold over the slots that are not filled yet."""
     return f"""
-, rs(qtype, label, slot, want) as (values {_recipe_rows(recipes)}),
-ds as (select aq.*, rs.label, rs.slot, rs.want, md5('42|slot|' || clip || '|' || qtype || '|' || slot) turn_key, turn, slot + 7 * turn nth, {_STYLE}
-   from aq join rs using (qtype), (select unnest([0, 1]) turn)),
-dr as (select ds.*, agg, vic, bys, act, env, na, nv, nb, bystanders, npa - (act_no is not null)::int lft, act_no, agg_no, vic_no, env_no, donor_no, npp, npa, npe, ndn,
-   {_h('near', "ds.clip || '|' || qtype || '|' || slot")} hn from ds join nm on nm.clip = ds.clip, sz),
-d1 as (select *, case when nth < lft then nth when nth >= 7 and lft > 7 then 7 + (nth - 7) % (lft - 7) end a_turn,
-   {_AT2(f"({_h('who')} + nth)", 'npp', 'agg_no', 'vic_no')} w_no, {_AT1(f"({_h('where')} + nth)", 'npe', 'env_no')} p_no, {_AT1(f"({_h('donor')} + nth)", 'ndn', 'donor_no')} v_no from dr),
-d2 as (select d1.*, pa.value x2, pp.value w2, pe.value e2, dn.d_agg, dn.d_vic, dn.d_env from d1
-   left join pa on pa.no = {_AT1(f"({_h('act')} + a_turn)", 'npa', 'act_no')} left join pp on pp.no = w_no left join pe on pe.no = p_no left join dn on dn.no = v_no),
-d3 as (select *, list_filter(coalesce(bystanders, []), lambda b: b <> 'group of people') near, agg is not null and vic is not null both_ from d2),
-d4 as (select *, case when len(near) > 0 then near[(hn % len(near))::int + 1] end standin, case when both_ then (hn // 16) % 2 = 0 else agg is not null end on_agg from d3),
-mu as (select clip, qtype, turn, slot, label, want, turn_key, correct_answer, no_text, style, coin, bys, nb, x2 act,
+, ds{p} as (select f.*, rs.label, rs.slot, md5('42|slot|' || clip || '|' || qtype || '|' || slot) turn_key, slot + {7 * p} nth, {_STYLE}
+   from (select * from {f"fold{p - 1} where step = 7 and len(lbl) < want" if p else "starts"}) f join rs using (qtype) where not list_contains(slots, slot)),
+dr{p} as (select f.*, agg, vic, bys, act, env, na, nv, nb, bystanders, npa - (act_no is not null)::int lft, act_no, env_no, donor_no, npp, npa, npe, ndn,
+   least(agg_no, vic_no) lo, case when agg_no <> vic_no then greatest(agg_no, vic_no) end hi,
+   {_h('near', "f.clip || '|' || qtype || '|' || slot")} hn from ds{p} f join nm on nm.clip = f.clip, sz),
+da{p} as (select *, case when nth < lft then nth when nth >= 7 and lft > 7 then 7 + (nth - 7) % (lft - 7) end a_turn,
+   case when npp - (lo is not null)::int - (hi is not null)::int > 0 then ({_h('who')} + nth) % (npp - (lo is not null)::int - (hi is not null)::int) end w0,
+   {_AT1(f"({_h('where')} + nth)", 'npe', 'env_no')} p_no, {_AT1(f"({_h('donor')} + nth)", 'ndn', 'donor_no')} v_no from dr{p}),
+db{p} as (select *, w1 + coalesce((w1 >= hi)::int, 0) w_no from (select *, w0 + coalesce((w0 >= lo)::int, 0) w1 from da{p})),
+d2{p} as (select b.*, pa.value x2, pp.value w2, pe.value e2, dn.d_agg, dn.d_vic, dn.d_env, list_filter(coalesce(bystanders, []), lambda b: b <> 'group of people') near,
+   agg is not null and vic is not null both_ from db{p} b left join pa on pa.no = {_AT1(f"({_h('act')} + a_turn)", 'npa', 'act_no')}
+   left join pp on pp.no = w_no left join pe on pe.no = p_no left join dn on dn.no = v_no),
+d4{p} as (select *, case when len(near) > 0 then near[(hn % len(near))::int + 1] end standin, case when both_ then (hn // 16) % 2 = 0 else agg is not null end on_agg from d2{p}),
+mu{p} as (select clip, qtype, slot, label, turn_key, no_text, style, coin, bys, nb, x2 act,
    unnest([{{'l': 'role_reversal', 'ok': both_, 'a': vic, 'v': agg, 'e': env, 'na': nv, 'nv': na}}, {{'l': 'wrong_action', 'ok': true, 'a': agg, 'v': vic, 'e': env, 'na': na, 'nv': nv}},
      {{'l': 'wrong_victim', 'ok': both_ and w2 is not null, 'a': agg, 'v': w2, 'e': env, 'na': na, 'nv': 1}}, {{'l': 'wrong_aggressor', 'ok': both_ and w2 is not null, 'a': w2, 'v': vic, 'e': env, 'na': 1, 'nv': nv}},
      {{'l': 'bystander_substitution', 'ok': standin is not null and (agg is not null or vic is not null), 'a': case when on_agg then standin else agg end, 'v': case when on_agg then vic else standin end, 'e': env,
        'na': case when on_agg then 1 else na end, 'nv': case when on_agg then nv else 1 end}},
      {{'l': 'wrong_location', 'ok': e2 is not null, 'a': agg, 'v': vic, 'e': e2, 'na': na, 'nv': nv}}, {{'l': 'wrong_category', 'ok': true, 'a': agg, 'v': vic, 'e': coalesce(e2, env), 'na': na, 'nv': nv}},
-     {{'l': 'cross_video', 'ok': d_agg is not null, 'a': d_agg, 'v': d_vic, 'e': coalesce(d_env, env), 'na': 1, 'nv': 1}}]) m from d4 where x2 is not null),
-mv as (select * exclude (m), m.l l, m.a agg, m.v vic, m.e env, m.na na, m.nv nv, case when m.l = label then -1 else {_IDX.format('m.l')} end ord from mu
+     {{'l': 'cross_video', 'ok': d_agg is not null, 'a': d_agg, 'v': d_vic, 'e': coalesce(d_env, env), 'na': 1, 'nv': 1}}]) m from d4{p} where x2 is not null),
+mv{p} as (select * exclude (m), m.l l, m.a agg, m.v vic, m.e env, m.na na, m.nv nv, case when m.l = label then -1 else {_IDX.format('m.l')} end ord from mu{p}
    where m.ok and (m.l = label or {_IDX.format('m.l')} > {_IDX.format('label')})),
-mt as (select *, {_render_sql()} t from mv),
-cs as (select clip, qtype, turn, slot, turn_key, act, list({{'l': l, 't': t}} order by ord) c from mt where t is not null and lower(t) is distinct from no_text group by all),
-ca as (select *, row_number() over (partition by clip, qtype order by turn, turn_key, slot) step from cs),
-fold(clip, qtype, correct_answer, no_text, want, step, txt, lbl, slots) as (
-   select distinct aq.*, want, 0::bigint, [lower(correct_answer)], []::varchar[], []::bigint[] from aq join rs using (qtype)
+mt{p} as (select clip, qtype, slot, turn_key, act, ord, l, no_text, {_render_sql()} t from mv{p}),
+cs{p} as (select clip, qtype, slot, turn_key, act, list({{'l': l, 't': t}} order by ord) c from mt{p} where t is not null and lower(t) is distinct from no_text group by all),
+ca{p} as materialized (select *, row_number() over (partition by clip, qtype order by turn_key, slot) step from cs{p}),
+fold{p}(clip, qtype, correct_answer, no_text, want, txt, lbl, slots, step) as (
+   select *{"" if not p else " exclude (step)"}, 0::bigint from {"starts" if not p else f"fold{p - 1} where step = 7 and len(lbl) < want"}
    union all
-   select clip, qtype, correct_answer, no_text, want, step, case when k is null then txt else txt || [k.t] end, case when k is null then lbl else lbl || [k.l] end,
-     case when k is null then slots else slots || [slot] end
-   from (select f.clip, f.qtype, f.correct_answer, f.no_text, f.want, f.step + 1 step, txt, lbl, slots, ca.slot,
-       case when ca.clip is not null and not list_contains(slots, ca.slot) and (f.qtype not in {_ACTED} or len(list_filter(txt, lambda u: contains(lower(u), lower(act)))) = 0)
+   select clip, qtype, correct_answer, no_text, want, case when k is null then txt else txt || [k.t] end, case when k is null then lbl else lbl || [k.l] end,
+     case when k is null then slots else slots || [slot] end, step
+   from (select f.clip, f.qtype, f.correct_answer, f.no_text, f.want, f.step + 1 step, txt, lbl, slots, a.slot,
+       case when a.clip is not null and (f.qtype not in {_ACTED} or len(list_filter(txt, lambda u: contains(lower(u), lower(act)))) = 0)
          then list_filter(c, lambda x: not list_contains(list_transform(txt, lambda u: lower(u)), lower(x.t)))[1] end k
-     from fold f left join ca on ca.clip = f.clip and ca.qtype = f.qtype and ca.step = f.step + 1 where f.step < 14)),
-filled as (select * exclude (step, slots) from fold where step = 14)"""
+     from fold{p} f left join ca{p} a on a.clip = f.clip and a.qtype = f.qtype and a.step = f.step + 1 where f.step < 7))"""
+
+
+def _recipe_fill(recipes: dict) -> str:
+    """From aq (clip, qtype, correct_answer, no_text): filled, after two draws a slot."""
+    return f"""
+, rs(qtype, label, slot, want) as (values {_recipe_rows(recipes)}),
+starts as (select distinct aq.*, want, [lower(correct_answer)] txt, []::varchar[] lbl, []::bigint[] slots from aq join rs using (qtype))""" + _recipe_turn(0) + _recipe_turn(1) + """
+, filled as materialized (select * exclude (step, slots) from fold0 where step = 7 and len(lbl) >= want
+   union all select * exclude (step, slots) from fold1 where step = 7)"""
 
 
 def _walk(name: str, before: str, pools: dict[str, str], repeats: bool) -> str:
@@ -692,7 +699,7 @@ def _walk(name: str, before: str, pools: dict[str, str], repeats: bool) -> str:
     free = "true" if repeats else f"(qtype not in {_ACTED} or (lower(x) is distinct from own_act and len(list_filter(txt, lambda u: contains(lower(u), lower(x)))) = 0))"
     joins = " ".join(f"left join {pool} j_{slot} on j_{slot}.no = at_{slot}" for slot, pool in pools.items())
     return f"""
-, {name}_z as (select {sizes}),
+, {name}_z as materialized (select {sizes}),
 {name}_w(clip, qtype, correct_answer, no_text, want, txt, lbl, k) as (
    select clip, qtype, correct_answer, no_text, want, txt, lbl, 0::bigint from {before}
    union all
@@ -702,28 +709,50 @@ def _walk(name: str, before: str, pools: dict[str, str], repeats: bool) -> str:
        select w.*, {', '.join(f"j_{slot}.value {'x' if slot == 'act' else 's_' + slot}" for slot in pools)}, lower(sl.act) own_act, 1 na, 1 nv, 0 nb, {_STYLE.replace("clip", "w.clip")}
        from (select *, {', '.join(f"{expr} end at_{slot}" for slot, expr in at.items() if 'when' in expr)}{''.join(f", null::bigint at_{slot}" for slot, expr in at.items() if 'when' not in expr)}
          from {name}_w, {name}_z where len(lbl) < want and k < coalesce({limit} end, 0)) w join sl on sl.clip = w.clip {joins})))),
-{name} as (select clip, qtype, correct_answer, no_text, want, arg_max(txt, k) txt, arg_max(lbl, k) lbl from {name}_w group by all)"""
+{name} as materialized (select clip, qtype, correct_answer, no_text, want, arg_max(txt, k) txt, arg_max(lbl, k) lbl from {name}_w group by all)"""
 
 
 _COUNTED = lambda a, b, x, y: f"""select {a} || ' {x}' || (case when {a} = 1 then '' else 's' end) || ' and ' || {b} || ' {y}' || (case when {b} = 1 then '' else 's' end) v"""
 _SPARES = f"""
-, sg as {_NUM('spare_agg', "select d_agg v from dn")}, sv as {_NUM('spare_vic', "select d_vic v from dn")},
-sb as {_NUM('spare_by', "select bys v from sl where len(list_filter(coalesce(bystanders, []), lambda b: b <> 'group of people')) > 0")},
-av as {_NUM('compound_aggressor_victim_count', _COUNTED('na', 'nv', 'aggressor', 'victim') + " from sl union all " + _COUNTED('a', 'b', 'aggressor', 'victim') + " from range(4) x(a), range(4) y(b)")},
-vb as {_NUM('compound_victim_bystander_count', _COUNTED('nv', 'nb', 'victim', 'bystander') + " from sl union all " + _COUNTED('a', 'b', 'victim', 'bystander') + " from range(4) x(a), range(4) y(b)")}"""
+, sg as materialized {_NUM('spare_agg', "select d_agg v from dn")}, sv as materialized {_NUM('spare_vic', "select d_vic v from dn")},
+sb as materialized {_NUM('spare_by', "select bys v from sl where len(list_filter(coalesce(bystanders, []), lambda b: b <> 'group of people')) > 0")},
+av as materialized {_NUM('compound_aggressor_victim_count', _COUNTED('na', 'nv', 'aggressor', 'victim') + " from sl union all " + _COUNTED('a', 'b', 'aggressor', 'victim') + " from range(4) x(a), range(4) y(b)")},
+vb as materialized {_NUM('compound_victim_bystander_count', _COUNTED('nv', 'nb', 'victim', 'bystander') + " from sl union all " + _COUNTED('a', 'b', 'victim', 'bystander') + " from range(4) x(a), range(4) y(b)")}"""
 _FIRST = {"agg": "sg", "vic": "sv", "by": "sb", "act": "pa", "env": "pe", "av": "av", "vb": "vb"}
 _WALKS = (_SPARES + _walk("w1", "filled", _FIRST, False) + _walk("w2", "w1", _FIRST | dict.fromkeys(("agg", "vic", "by"), "pp"), False)
           + _walk("w3", "w2", _FIRST | dict.fromkeys(("agg", "vic", "by"), "pp"), True))
 _OPTIONS = """
 , opt as (select clip, qtype, {0} is_trick, [correct_answer] || txt[2:] txt, ['correct'] || lbl lbl, correct_answer from {1})"""
 _BASE = _ASSIGN + _DRAWS[len(_SLOTS):] + ", " + _SIZES
-_RECIPE = _BASE + f"""
-, aq0 as (select a.clip, qtype, {_render_sql()} correct_answer from (select a.*, sl.* exclude (clip), {_STYLE.replace("clip", "a.clip")} from assigned a join sl on sl.clip = a.clip where qtype in (select * from (values {_SPARE_TYPES}))) a),
-aq as (select clip, qtype, correct_answer, null::varchar no_text from (select *, lower(trim(correct_answer)) x, lower({_NULLS}) y from aq0) where correct_answer is not null and (qtype = 'sequence_verification'
+
+
+def _recipe_bank(asked: str) -> str:
+    """The recipe bank of `asked`, rows of (clip, qtype)."""
+    return _BASE + f"""
+, aq0 as (select a.clip, qtype, {_render_sql()} correct_answer from (select a.*, sl.* exclude (clip), {_STYLE.replace("clip", "a.clip")} from ({asked}) a join sl on sl.clip = a.clip where qtype in (select * from (values {_SPARE_TYPES}))) a),
+aq as materialized (select clip, qtype, correct_answer, null::varchar no_text from (select *, lower(trim(correct_answer)) x, lower({_NULLS}) y from aq0) where correct_answer is not null and (qtype = 'sequence_verification'
    or not (x = y or ({_NONE_LIKE('x')} and {_NONE_LIKE('y')}) or (length(x) > 10 and length(y) > 10 and (contains(x, y) or contains(y, x))))))""" + _recipe_fill(K.DEFAULT_RECIPES) + _WALKS + _OPTIONS.format("false", "w3")
 
 
-_recursive = lambda text: "with recursive " + text.removeprefix("with ")
+_RECIPE = _recipe_bank("select clip, qtype from assigned")
+_TRICK_TYPES = _lst([t for t in bk.TYPE_SLOTS if "count" not in t])
+_TRICKS = _BASE + f"""
+, asked as (select clip, qtype from (select clip, qtype, row_number() over (partition by qtype order by md5('42|trick|' || clip || '|' || qtype), clip, qtype) <= round(count(*) over (partition by qtype) * 0.1) hit from assigned)
+   where hit and qtype in {_TRICK_TYPES}),
+aq as materialized (select a.clip, qtype, {_NULLS} correct_answer, lower({_render_sql()}) no_text from (select a.*, sl.* exclude (clip), {_STYLE.replace("clip", "a.clip")} from asked a join sl on sl.clip = a.clip) a)""" + _recipe_fill(
+    {t: {"cross_video": 7} for t in bk.TYPE_SLOTS}) + _WALKS + """
+, padded as (select * replace (case when qtype = 'sequence_verification' then txt else txt || list_transform(range(len(lbl), 7), lambda i: 'Option ' || (i + 2)) end as txt,
+   case when qtype = 'sequence_verification' then lbl else lbl || list_transform(range(len(lbl), 7), lambda i: 'cross_video') end as lbl) from w3)""" + _OPTIONS.format("true", "padded")
+
+
+_KEPT_CTES = ("clips as (", "pp as (", "pa as (", "pe as (", "dn as (", "nm as (", "sl as (")
+
+
+def _recursive(text: str) -> str:
+    """The statement as a recursive one; tables that every step of a recursion reads are kept, not made again."""
+    for name in _KEPT_CTES:
+        text = text.replace(name, name.replace("as (", "as materialized ("), 1)
+    return "with recursive " + text.removeprefix("with ")
 
 
 @query("recipe_questions", _recursive(sql(_RECIPE + _SHOW, "clips")))
@@ -737,7 +766,7 @@ def recipe_label_counts(spark, sf):
     return recipe_bank(spark, sf).select("qtype", F.explode("option_hardness").alias("label")).groupBy("qtype", "label").agg(F.count("*").alias("n"))
 
 
-@query("trick_questions")
+@query("trick_questions", _recursive(sql(_TRICKS + _SHOW, "clips")))
 def trick_questions(spark, sf):
     marked = bk.mark_tricks(assigned(spark, sf).select("clip", "qtype")).filter("is_trick").drop("is_trick")
     return shown(bk.trick_questions(marked, pools_of(spark, sf)))
@@ -828,7 +857,8 @@ def unique_action_options(spark, sf):
     return bk.unique_actions(rows, "answers", "acts", "spare").select("clip", "qtype", join_list("answers").alias("answers"))
 
 
-@query("appended_type")
+@query("appended_type", _recursive(sql(_recipe_bank(
+    "select clip, qtype from valid where qtype = 'compound_action_aggressor' and clip in (select clip from clips where action is not null)") + _SHOW, "clips")))
 def appended_type(spark, sf):
     out = bk.append_type(questions(spark, sf), person_arrays(clips(spark, sf)), "compound_action_aggressor", bk.recipe_table(spark), pools_of(spark, sf))
     return shown(out)
