@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,29 +24,28 @@ from .common import small_batches
 
 QUERY_BYTES = 250_000  # bytes of distinct words in one recursive query
 LONG_WORD = 96  # longer words contract all safe occurrences of a pair in a round
-CACHE_WORDS = 200_000  # words a task remembers; the cache is emptied when it is full
+CACHE_WORDS = 150_000  # words met since the last change of generation; the generation before is kept, too
 ENCODE_CHARS = 2_000_000  # characters of the texts encoded together, one document at least
 DECODE_TOKENS = 400_000  # ids in one decoding query, one document at least
 ENCODED = "doc_id bigint, ids array<int>"
 
 ENCODE = """
-with recursive step(round, word, pos, id, nid, npos) as (
-  select 0::int, word, pos, id, nid, npos from start
+with recursive step(word, pos, id, nid, npos, done) as (
+  select word, pos, id, nid, npos, false from start
   union all (
     with best as (
       select word, min((m.rank::bigint << 32) | pos) as pick, arg_min(npos, (m.rank::bigint << 32) | pos) as gone
-      from step join merges m on m.pair = id::bigint * 65536 + nid group by word),
+      from step join merges m on not done and m.pair = id::bigint * 65536 + nid group by word),
     removed as (
       select s.word, s.pos as gpos, s.nid as gnid, s.npos as gnpos, pick
       from step s join best on s.word = best.word and s.pos = best.gone)
-    select s.round + 1, s.word, s.pos,
+    select s.word, s.pos,
       case when s.pos = pick & 4294967295 then (pick >> 32)::int else s.id end,
       case when s.npos = pick & 4294967295 then (pick >> 32)::int
            when s.pos = pick & 4294967295 then gnid else s.nid end,
-      case when s.pos = pick & 4294967295 then gnpos else s.npos end
-    from step s join removed r on s.word = r.word where s.pos <> gpos)),
-last as (select word, max(round) as round from step group by word)
-select word, list(id order by pos) as ids from step join last using (word, round) group by word
+      case when s.pos = pick & 4294967295 then gnpos else s.npos end, r.word is null
+    from step s left join removed r on s.word = r.word where not s.done and s.pos is distinct from gpos))
+select word, list(id order by pos) as ids from step where done group by word
 """
 
 # One round for long words. A pair may be contracted everywhere at once if its token is part of no token of
@@ -84,7 +82,6 @@ class Codec:
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.spaces = re.compile(r" \s|\s ")
         parts = (
             (a, b, rank) for token, rank in self.ranks.items() for i in range(1, len(token))
             if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None)
@@ -95,30 +92,25 @@ class Codec:
         self.load("merges", pa.table({"pair": left * 65536 + right, "rank": merged.astype(np.int32), "safe": ~np.isin(merged, unsafe)}))
         self.load("vocab", pa.table({
             "id": pa.array(list(self.ranks.values()), pa.int32()), "token": [t.decode("latin-1") for t in self.ranks]}))
-        self.first: dict[str, bytes] = {}  # pieces at a text's start
-        self.spaced: dict[str, bytes] = {}  # pieces after a space
+        self.words: list[dict[str, bytes]] = [{}, {}]  # ids of the words met: this generation, the one before
 
     def close(self) -> None:
         """Give the memory back: Python workers outlive their tasks."""
         self.db.close()
-        self.first, self.spaced, self.ranks = {}, {}, {}
+        self.words, self.ranks = [{}, {}], {}
 
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register("loaded", rows)
         self.db.execute(f"create or replace temp table {name} as select * from loaded")
         self.db.unregister("loaded")
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The text cut at single spaces; None if a space touches other white space, where the cut could split a match."""
-        return None if self.spaces.search(text) else text.split(" ")
-
     def merged(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word as little-endian integers."""
         out: dict[bytes, bytes] = {}
         left = [w for w in words if w not in self.ranks]
         out.update((w, self.ranks[w].to_bytes(4, "little")) for w in words if w in self.ranks)
         short, size = [], 0
-        for word in left:
+        for word in sorted(left, key=len):  # words of a length take about as many rounds
             if len(word) > LONG_WORD:
                 out[word] = self.long_word(word)
                 continue
@@ -157,25 +149,27 @@ class Codec:
             before, size = size, self.db.sql("select count(*) from long_words").fetchall()[0][0]
         return self.db.sql("select id from long_words order by pos").to_arrow_table()["id"].to_numpy().astype("<u4").tobytes()
 
-    def learn(self, cache: dict[str, bytes], keys: set[str], lead: str) -> None:
-        matches = {k: [m.encode() for m in self.pattern.findall(lead + k)] for k in keys}
-        ids = self.merged(list({m for found in matches.values() for m in found}))
-        cache.update((k, b"".join(map(ids.__getitem__, found))) for k, found in matches.items())
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all words, encoded where neither generation has them. A full generation becomes the one before."""
+        if len(self.words[0]) > CACHE_WORDS:
+            self.words = [{}, self.words[0]]
+        now, before = self.words
+        new = []
+        for word in words:
+            if word not in now:
+                if (held := before.get(word)) is not None:
+                    now[word] = held
+                else:
+                    new.append(word)
+        raw = [word.encode() for word in new]
+        ids = self.merged(raw)
+        now.update(zip(new, map(ids.__getitem__, raw), strict=True))
+        return now
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) > CACHE_WORDS:
-            self.spaced.clear()
-        if len(self.first) > CACHE_WORDS:
-            self.first.clear()
-        cut = [self.pieces(t) for t in texts]
-        whole = [self.pattern.findall(t) if c is None else None for t, c in zip(texts, cut, strict=True)]
-        ids = self.merged(list({m.encode() for found in whole if found for m in found}))
-        self.learn(self.first, {c[0] for c in cut if c} - self.first.keys(), "")
-        self.learn(self.spaced, {p for c in cut if c for p in c[1:]} - self.spaced.keys(), " ")
-        return [
-            b"".join(ids[m.encode()] for m in w) if c is None
-            else self.first[c[0]] + b"".join(map(self.spaced.__getitem__, c[1:]))
-            for c, w in zip(cut, whole, strict=True)]
+        found = [self.pattern.findall(text) for text in texts]
+        ids = self.known(set().union(*found)).__getitem__
+        return [b"".join(map(ids, words)) for words in found]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
