@@ -26,7 +26,7 @@ QUERY_BYTES = 250_000  # bytes of distinct words in one recursive query
 LONG_WORD = 96  # longer words contract all safe occurrences of a pair in a round
 CACHE_WORDS = 150_000  # words met since the last change of generation; the generation before is kept, too
 ENCODE_CHARS = 2_000_000  # characters of the texts encoded together, one document at least
-DECODE_TOKENS = 400_000  # ids in one decoding query, one document at least
+DECODE_TOKENS = 400_000  # ids in one decoding query; longer rows are decoded in slices
 ENCODED = "doc_id bigint, ids array<int>"
 
 ENCODE = """
@@ -172,13 +172,21 @@ class Codec:
         return [b"".join(map(ids, words)) for words in found]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each row of ids. A long row is decoded in slices, as tokens simply follow each other."""
+        slices = [(row, some[i: i + DECODE_TOKENS]) for row, some in enumerate(ids) for i in range(0, len(some), DECODE_TOKENS)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        for part in _chunks([len(some) for _, some in slices], DECODE_TOKENS):
+            for (row, _), held in zip(slices[part], self.decoded([some for _, some in slices[part]]), strict=True):
+                out[row].append(held)
+        return list(map(b"".join, out))
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
         self.load("ids", pa.table({
-            "doc": np.repeat(np.arange(len(ids)), lens), "pos": np.arange(len(flat)), "id": flat.astype(np.int32)}))
+            "doc": np.repeat(np.arange(len(ids)), lens), "pos": np.arange(lens.sum()), "id": np.concatenate(ids).astype(np.int32)}))
         found = self.db.sql(DECODE).to_arrow_table()
         out = dict(zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True))
-        return [out.get(i, "").encode("latin-1") for i in range(len(ids))]
+        return [out[i].encode("latin-1") for i in range(len(ids))]
 
 
 def _chunks(sizes: list[int], most: int) -> Iterator[slice]:

@@ -33,3 +33,20 @@ def test_round_trip_equals_tiktoken(spark):
     decoded = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).select("doc_id", "decoded").collect()
     assert sorted([(r[0], bytes(r[1])) for r in decoded], key=str) == sorted([(i, (t or "").encode()) for i, t, _ in rows], key=str)
     assert bpe.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_very_long_text_decodes_in_slices():
+    coder, text = bpe.Codec(RANKS, public_tokenizers.PATTERN), "abcdx efghy " * 1_000_000
+    ids = np.frombuffer(coder.encode([text])[0], "<u4")
+    assert len(ids) > 3_500_000 and ids.tolist() == reference().encode_ordinary(text)
+    assert coder.decode([ids[:0], ids, ids[:3]]) == [b"", text.encode(), reference().decode(ids[:3].tolist()).encode()]
+    coder.close()
+
+
+def test_words_of_an_older_generation_are_still_right(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    coder, enc = bpe.Codec(RANKS, public_tokenizers.PATTERN), reference()
+    for turn in range(6):
+        texts = [f"wordly{k} thing{k + turn} again, again" for k in range(4)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in coder.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    coder.close()
