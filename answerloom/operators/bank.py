@@ -523,6 +523,8 @@ def refilled(picked: DataFrame, pools: Pools, forbidden: Column | None = None) -
         limit = F.coalesce(map_column(limits, c("qtype")), lit(0))
         taken = settle(taken)
         short = F.size("_picked") < c("_want")
+        if taken.filter(short).isEmpty():
+            break
         done, todo, start, width = [taken.filter(~short | (limit == 0))], taken.filter(short & (limit > 0)), 0, 16
         while not todo.isEmpty():
             more = spare_options(todo, pools, spare, limits, start, width)

@@ -96,20 +96,28 @@ def label_bank(bank: DataFrame, clips: DataFrame) -> DataFrame:
     return labelled.select("clip", "qtype", "prompt", "pos", "option", F.when(right, "correct").otherwise(F.col("label")).alias("label"))
 
 
+def unlabelled() -> Column:
+    """A question without labels: the array is null or empty."""
+    return F.coalesce(F.size("option_hardness"), F.lit(0)) <= 0
+
+
 def with_labels(bank: DataFrame, clips: DataFrame) -> DataFrame:
-    """`bank` with `option_hardness` filled in by J10 for the questions that have none."""
-    if "option_hardness" not in bank.columns:
+    """`bank` with `option_hardness` filled in by J10 for the questions that have none; labelled ones do not enter the joins."""
+    columns = bank.columns
+    if "option_hardness" not in columns:
+        columns = [*columns, "option_hardness"]
         bank = bank.withColumn("option_hardness", F.lit(None).cast("array<string>"))
+    bare = bank.filter(unlabelled())
     asked = ["clip", "qtype", "prompt", "answers", "correct_answer", "correct_index"]
     people = clips.select("clip", "aggressor", "victim", "action", "bystanders", "environment")
-    opts = bank.filter("option_hardness is null").select(*asked).distinct().select("*", F.posexplode("answers").alias("pos", "option"))
+    opts = bare.select(*asked).distinct().select("*", F.posexplode("answers").alias("pos", "option"))
     right = (F.col("pos") == F.col("correct_index")) | (F.col("option") == F.col("correct_answer"))
     one = F.struct("pos", F.when(right, "correct").otherwise(F.col("label")).alias("label"))
     made = label_options(opts.join(people, "clip")).groupBy(*asked).agg(F.array_sort(F.collect_list(one)).alias("_made"))
     made = made.select(*[F.col(c).alias(f"_{c}") for c in asked], F.transform("_made", lambda o: o["label"]).alias("_labels"))
     same = reduce(and_, [F.col(c) == F.col(f"_{c}") if c == "clip" else F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked])
-    return bank.join(made, same & F.col("option_hardness").isNull(), "left").select(
-        *[F.coalesce("option_hardness", "_labels").alias(c) if c == "option_hardness" else F.col(c) for c in bank.columns])
+    filled = bare.join(made, same, "left").select(*[F.col("_labels").alias(c) if c == "option_hardness" else F.col(c) for c in columns])
+    return bank.filter(~unlabelled()).select(columns).unionByName(filled)
 
 
 def rank_rejected(options: Column, model_correct: Column, strategy: str, n: int) -> Column:
@@ -134,14 +142,14 @@ def preference_pairs(bank: DataFrame, clips: DataFrame, train: DataFrame, outcom
                      chains: DataFrame | None = None, strategy: str = "fixed", n: int = 5, outcome_order=(), chain_order=()) -> DataFrame:
     """J6. Chosen answer against the selected distractors, for training clips with an annotation.
 
-    Labels come from the bank; a bank without that column is labelled first (`with_labels`, which needs the people in
-    `clips`). Of repeated outcomes and chains the last one counts: outcomes in `outcome_order`, chains in `chain_order`.
+    Labels come from the bank; questions without any (no column, a null or an empty array) are labelled first
+    (`with_labels`), for which `clips` must name the people. Of repeated outcomes and chains the last one counts: outcomes in `outcome_order`, chains in `chain_order`.
     """
     rows = (
         bank.filter(~F.col("is_secondary") & ~F.col("is_trick"))
         .filter((F.col("correct_index") >= 0) & (F.col("correct_index") < F.size("answers")))
         .join(train.select("clip"), "clip", "left_semi").join(clips.select("clip"), "clip", "left_semi"))
-    if "option_hardness" not in bank.columns:
+    if "option_hardness" not in bank.columns or "aggressor" in clips.columns:
         rows = with_labels(rows, clips)
     if outcomes is not None:
         if not outcome_order:

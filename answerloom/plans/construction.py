@@ -247,6 +247,25 @@ def preference_pairs_unlabelled(spark, sf):
     return pairs.select("clip", "qtype", "correct_index", shown.alias("rejected"))
 
 
+@query("preference_pairs_half_labelled", sql(_LABEL_SQL.rstrip() + SPLIT_SQL + f"""
+, e as (select q.clip, q.qtype, q.correct_index, q.correct_answer, unnest(range(n_options)) pos, unnest(answers) txt,
+     unnest(case when ('0x' || substr(md5('42|half|' || q.clip || '|' || q.qtype), 1, 8))::bigint % 3 = 0 then option_hardness else list_transform(answers, lambda a: null::varchar) end) own
+     from questions q join split s using (clip) where not is_secondary and not is_trick and s.split = 'train'),
+l as (select e.*, coalesce(own, label) as label from e join lab using (clip, qtype, pos)),
+k as (select *, row_number() over (partition by clip, qtype order by {_ORD['fixed']}, pos) r from l where label <> 'correct')
+select clip, qtype, correct_index, string_agg(chr((65 + pos)::int) || ') ' || txt || ' [' || label || ']', ' ## ' order by r) rejected
+from k where r <= 3 group by all""", "questions"))
+def preference_pairs_half_labelled(spark, sf):
+    """J6 on a bank in which a third of the questions has labels, a third a null and a third an empty array."""
+    train = splits(spark, sf).filter("split = 'train'")
+    turn = hash_int(42, "half", c("clip"), c("qtype")) % 3
+    bank = indexed(questions(spark, sf)).withColumn("option_hardness", F.when(turn == 0, c("option_hardness")).when(
+        turn == 1, F.array().cast("array<string>")))
+    pairs = prep.preference_pairs(bank, clips(spark, sf), train, n=3)
+    shown = F.array_join(F.transform("rejected", lambda r: F.concat(r["answer"], F.lit(" ["), r["hardness"], F.lit("]"))), " ## ")
+    return pairs.select("clip", "qtype", "correct_index", shown.alias("rejected"))
+
+
 @query("answer_prefixes", sql("""
 , o as (select clip, qtype, unnest(range(n_options)) pos, unnest(answers) o from questions)
 select clip, qtype, pos, case when contains(o, '; ') then trim(split_part(o, '; ', 1)) when regexp_matches(o, '(?s)^.+ in ') then trim(regexp_extract(o, '(?s)^(.+) in ', 1)) end prefix from o""", "questions"))

@@ -148,3 +148,14 @@ def test_pairs_of_an_unlabelled_bank(spark):
     pair = prep.preference_pairs(bank, clips, clips, outcomes, n=3, outcome_order=["load"]).first()
     assert [r.hardness for r in pair.rejected] == ["role_reversal", "bystander_substitution", "cross_video"] and pair.model_correct
     assert prep.with_labels(bank.limit(0), clips).count() == 0
+
+
+def test_pairs_of_a_half_labelled_bank(spark):
+    clips = spark.createDataFrame([("v1", "man in red", "woman in blue", "punch", ["student in cap"], None)],
+                                  "clip string, aggressor string, victim string, action string, bystanders array<string>, environment string")
+    one = ["man in red", "woman in blue", "student in cap", "nobody in sight at sea"]
+    own = ["correct", "wrong_action", "wrong_action", "wrong_action"]
+    rows = [("v1", "aggressor_identification", i, f"p{i}", one, one[0], 0, labels, False, False) for i, labels in enumerate((own, None, []))]
+    pairs = {r.prompt: [x.hardness for x in r.rejected] for r in prep.preference_pairs(spark.createDataFrame(rows, BANK), clips, clips, n=3).collect()}
+    made = ["role_reversal", "bystander_substitution", "cross_video"]
+    assert pairs == {"p0": own[1:], "p1": made, "p2": made}
