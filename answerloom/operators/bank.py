@@ -455,6 +455,8 @@ def filled_by_recipe(asked: DataFrame, pools: Pools, recipes: DataFrame, allowed
     rows = asked.join(sizes, "qtype").withColumn("_picked", F.array().cast(OPTIONS))
     for turn in (0, 1):
         short = rows if not turn else rows.filter(F.size("_picked") < c("_want"))
+        if turn and short.isEmpty():
+            break
         drawn = distractor_candidates(short, pools, recipes, turn).join(asked, ["clip", "qtype"])
         drawn = drawn.withColumn("candidates", F.filter("candidates", lambda x: allowed(x["text"]))).select("clip", "qtype", "slot", "_turn", "candidates")
         found = settle(pick_distractors(short, drawn))

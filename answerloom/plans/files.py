@@ -219,7 +219,7 @@ select model, qtype, count(*) total, count_if(is_correct) correct, count(selecte
 def running_accuracy(spark, sf):
     path = fresh(spark, "running")
     running.keep_latest(running.running_accuracy(answer_stream(spark, sf)), path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path)
+    return running.latest_totals(spark, path)
 
 
 @query("answered_once", sql("select clip, prompt from results group by all", "results"))
@@ -240,4 +240,4 @@ def event_stream_counts(spark, sf):
     rows = events.select(F.col("event_type").alias("model"), F.col("props").alias("qtype"), (F.col("value") > 10).alias("is_correct"), F.col("event_id").alias("selected"))
     path = fresh(spark, "events")
     running.keep_latest(running.running_accuracy(rows), path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path).select("model", "qtype", "total", "correct")
+    return running.latest_totals(spark, path).select("model", "qtype", "total", "correct")

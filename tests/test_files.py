@@ -101,3 +101,30 @@ def test_restarted_stream_appends_nothing_twice(spark, tmp_path):
     for _ in range(2):
         running.append_to(read(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 5
+
+
+def test_totals_survive_a_crash_at_any_point(spark, tmp_path):
+    path, table = f"{tmp_path}/totals", lambda n: spark.createDataFrame([("m", n)], "model string, total int")
+    store = running.store_totals(path)
+    with pytest.raises(FileNotFoundError):
+        running.latest_totals(spark, path)
+    store(table(1), 0)
+    table(99).write.parquet(f"{path}/batch-1")  # a crash before batch 1 is named
+    assert running.latest_totals(spark, path).first().total == 1
+    store(table(2), 1)  # replayed
+    assert running.latest_totals(spark, path).first().total == 2
+    store(table(50), 1)  # replayed once more after it was named: the stored table stays
+    assert running.latest_totals(spark, path).first().total == 2
+    store(table(3), 2)
+    assert running.latest_totals(spark, path).first().total == 3
+
+
+def test_running_totals_go_on_after_a_restart(spark, tmp_path):
+    schema = "model string, qtype string, is_correct boolean, selected int"
+    rows = lambda n: spark.createDataFrame([("m", "t", i % 2 == 0, i) for i in range(n)], schema).coalesce(1)
+    source, path = f"{tmp_path}/in", f"{tmp_path}/totals"
+    for turn, n in enumerate((4, 6)):
+        rows(n).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        running.keep_latest(running.running_accuracy(stream), path, f"{tmp_path}/checkpoint").awaitTermination()
+        assert running.latest_totals(spark, path).first().total == (4, 10)[turn]
