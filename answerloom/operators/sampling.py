@@ -36,7 +36,8 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, reserved: s
     """I4. A reserved share for one stratum, the rest evenly over the others.
 
     The remainder goes to the first strata by name, short strata are not refilled, and no
-    more than n rows come back.
+    more than n rows come back, the first ones in a seeded order. Any n and any number of strata: strata are numbered and
+    rows are cut by range sorts, no single task sees them all (this runs jobs while the plan is built).
     """
     kept = max(1, int(n * share))
     rest = n - kept
@@ -45,15 +46,12 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, reserved: s
     strata = others.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     per = F.greatest(F.floor(F.lit(rest) / strata), F.lit(1))
     extra = F.lit(rest) - per * strata
-    # the remainder is below n, so only the first n strata by name can get one more
-    order = Window.partitionBy(F.lit(0)).orderBy(stratum)
-    first = others.orderBy(stratum).limit(n).select(
-        F.col(stratum).alias("_stratum"), F.row_number().over(order).alias("_no"))
-    quota = F.when(F.col(stratum) == reserved, F.lit(kept)).otherwise(
-        per + F.when(F.col("_no") <= extra, 1).otherwise(0))
-    chosen = ranked.join(F.broadcast(first), F.col(stratum) == F.col("_stratum"), "left").filter(
-        F.col("_rank") <= quota)
-    return chosen.select(*df.columns).orderBy(order_key(seed, "strata_cut", F.col(key)), key).limit(n)
+    # No stratum gives more than this, so what is joined and cut is about n rows, however large a stratum is.
+    near = ranked.filter(F.col("_rank") <= F.greatest(F.lit(kept), per + 1))
+    numbered = sorted_ordinal(others, [stratum], "_no").select(F.col(stratum).alias("_stratum"), "_no")
+    quota = F.when(F.col(stratum) == reserved, F.lit(kept)).otherwise(per + F.when(F.col("_no") < extra, 1).otherwise(0))
+    chosen = near.join(numbered, F.col(stratum) == F.col("_stratum"), "left").filter(F.col("_rank") <= quota)
+    return top_k(chosen.select(*df.columns), n, [order_key(seed, "strata_cut", F.col(key)), F.col(key)])
 
 
 def diverse_sample(df: DataFrame, by, stratum: str, keys, n: int, seed: int = 42) -> DataFrame:

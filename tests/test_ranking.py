@@ -2,8 +2,10 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from answerloom.operators import sampling as smp
 from answerloom.operators import ranking, sampling
 
 
@@ -113,3 +115,22 @@ def test_top_k_beyond_report_size(spark):
     got = top_k(df, 1500, [F.col("id").desc()], ["g"])
     assert got.columns == ["g", "id"]
     assert sorted(r["id"] for r in got.collect()) == list(range(2000, 5000))
+
+
+@pytest.mark.parametrize("n", [7, 40, 1500])
+def test_stratified_sample_equals_brute_force(spark, n):
+    md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    rows = [(i, "none" if i % 3 == 0 else None if i % 101 == 0 else f"s{i * i % 37:02d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, s string")
+    got = {(r.id, r.s) for r in smp.stratified_sample(df, "s", "id", n).collect()}
+    kept = max(1, int(n * 0.15))
+    names = sorted({s for _, s in rows if s not in ("none", None)})
+    per = max((n - kept) // len(names), 1)
+    extra = n - kept - per * len(names)
+    want = []
+    for s in {s for _, s in rows}:
+        quota = kept if s == "none" else per + (s is not None and names.index(s) < extra)
+        own = sorted((md5(42, "strata", i), i) for i, x in rows if x == s)
+        want += [(i, s) for _, i in own[:quota]]
+    want.sort(key=lambda r: (md5(42, "strata_cut", r[0]), r[0]))
+    assert got == set(want[:n])
