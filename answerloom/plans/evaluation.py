@@ -89,8 +89,7 @@ def _dialect_queries():
         if name == "letter":
             hit = ("case when i is not null then i = correct_index else trim(lower(answers[correct_index + 1])) <> '' "
                    "and contains(lower(t), trim(lower(answers[correct_index + 1]))) end")
-        talk_sql = sql(f", s as (select *, {expr} i from talk) select clip, i::int selected, {hit} is_correct, "
-                       "i is not null parsed from s".lstrip(", "), extra=None) if False else (
+        talk_sql = (
             f"with {_TALK_SQL.strip()}, s as (select *, ({expr})::int i from talk) "
             f"select clip, i selected, {hit} is_correct, i is not null parsed from s")
 
@@ -534,7 +533,7 @@ def paired_condition_delta(spark, sf):
     rows = results(spark, sf)
     b = rows.filter("model = 'atlas-70b'").select("clip", F.col("qtype").alias("asked"), "is_correct")
     a = rows.filter("model = 'atlas-8b'").withColumn("asked", F.col("qtype"))
-    return acc.paired_delta(a, b, ["clip", "asked"], ["is_correct"])
+    return acc.paired_delta(a, b, ["clip", "asked"], ["asked"])  # answered once each; never by outcome, which would hide flips
 
 
 STAGES = {"sft": 1, "cot": 2, "dpo": 3}

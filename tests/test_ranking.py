@@ -5,7 +5,6 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.operators import sampling as smp
 from answerloom.operators import ranking, sampling
 
 
@@ -122,7 +121,7 @@ def test_stratified_sample_equals_brute_force(spark, n):
     md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
     rows = [(i, "none" if i % 3 == 0 else None if i % 101 == 0 else f"s{i * i % 37:02d}") for i in range(4000)]
     df = spark.createDataFrame(rows, "id int, s string")
-    got = {(r.id, r.s) for r in smp.stratified_sample(df, "s", "id", n).collect()}
+    got = {(r.id, r.s) for r in sampling.stratified_sample(df, "s", "id", n).collect()}
     kept = max(1, int(n * 0.15))
     names = sorted({s for _, s in rows if s not in ("none", None)})
     per = max((n - kept) // len(names), 1)
