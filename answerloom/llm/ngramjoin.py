@@ -7,7 +7,11 @@ list. Two sets that reach the threshold share a signature, which is in the short
 Equal sets are one class from the start.
 
 Links are found in rounds: in each list of a signature the members meet one leader, and what has linked need not
-meet again. The pairs that are left over after the star rounds, in different components, are then compared in full.
+meet again. The first leader is the member whose prefix comes to the signature soonest: it has the fewest shingles
+of its own, so it is nearest to the middle of a group of near copies. The pairs that are left over after the star
+rounds, in different components, are then compared in full, inside lists of up to LONG_LIST classes. Longer lists are
+refined: their classes sign anew, in larger combinations (see `refined_pairs`), so that only classes with a whole part
+of their sets in common are paired.
 Every pair passes an exact bound first (the overlap of two sets is at most that of their hashed histograms).
 
 Shingles are 64-bit hashes. Defined cases: a null, empty or blank text has no shingles and is linked with nothing;
@@ -35,6 +39,7 @@ BUCKETS = 1 << 20  # classes of shingles whose frequency is counted
 FREQUENT = (8, 128)  # a class is frequent, or very frequent, above these times the mean count
 PARTS = (64, 16, 4, 1)  # of the frequent classes, one number after the other; combinations are formed inside a part
 STAR_ROUNDS = 2
+LONG_LIST = 64  # classes; the rest of a longer list is not paired but refined
 BINS = 512  # of the histograms that bound an overlap
 SETS = "doc_id bigint, n bigint, class bigint, histogram binary"
 
@@ -123,8 +128,10 @@ def losses(size: int, percent: int) -> tuple[int, int]:
     return size - -(-2 * percent * size // (100 + percent)), size - -(-percent * size // 100)
 
 
-def prefix_signatures(shingles: np.ndarray, weight: np.ndarray, lose: tuple[int, int], times=FREQUENT, parts=PARTS) -> tuple[list[int], int]:
-    """Signatures of one set, and how many of them, from the front, suffice for partners that are no smaller.
+def prefix_signatures(shingles: np.ndarray, weight: np.ndarray, lose: tuple[int, int], times=FREQUENT, parts=PARTS) -> tuple[list[int], int, list[int]]:
+    """Signatures of one set, how many of them, from the front, suffice for partners that are no smaller, and what came before each.
+
+    The last is the number of losses that the prefix can bear already where the signature stands.
 
     weight: the class count over the mean, by which shingles are ordered; lose: see `losses`. A group of p shingles
     that sign in k-combinations loses all its signatures only with p - k + 1 of its shingles, so the prefix ends when
@@ -136,6 +143,7 @@ def prefix_signatures(shingles: np.ndarray, weight: np.ndarray, lose: tuple[int,
     ordered = shingles[order].tolist()
     level = (np.searchsorted(np.asarray(times), weight[order]) + 1).tolist()
     out: list[int] = []
+    before: list[int] = []
     short = None
     for groups in (*parts, 0):
         taken: dict[tuple[int, int], list[int]] = {}
@@ -149,37 +157,39 @@ def prefix_signatures(shingles: np.ndarray, weight: np.ndarray, lose: tuple[int,
                 out.extend(hash((k, *some, s)) & 0x7FFFFFFFFFFFFFFF for some in itertools.combinations(group, k - 1))
                 group.append(s)
                 signs += len(group) >= k
+            before.extend([signs] * (len(out) - len(before)))
             if short is None and signs > lose[0]:
                 short = len(out)
             if signs > lose[1]:
-                return out, short
-    return out, len(out)
+                return out, short, before
+    return out, len(out), before
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, class, n and short (enough for partners that are no smaller): the signatures of every set with at least two shingles."""
+    """sig, class, n, short (enough for partners that are no smaller) and before: the signatures of every set with at least two shingles."""
     counts = class_counts(docs, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, short, sizes, keys = [], [], [], []
+            found, short, places, sizes, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, n)
                 if len(own) < 2:
                     continue  # a set of one links with equal sets only, which are one class
-                signs, first = prefix_signatures(own, counts[own % BUCKETS], losses(len(own), percent))
+                signs, first, before = prefix_signatures(own, counts[own % BUCKETS], losses(len(own), percent))
                 found.append(signs)
                 short.append(np.arange(len(signs)) < first)
+                places.append(np.array(before, np.int32))
                 sizes.append(len(own))
                 keys.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
             lens = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(lens))),
                 pa.array(np.repeat(np.array(keys, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int64), lens)),
-                pa.array(np.concatenate([np.zeros(0, bool), *short]))],
-                ["sig", "class", "n", "short"])
+                pa.array(np.concatenate([np.zeros(0, bool), *short])), pa.array(np.concatenate([np.zeros(0, np.int32), *places]))],
+                ["sig", "class", "n", "short", "before"])
 
-    return _texts(docs).mapInArrow(run, "sig bigint, class bigint, n bigint, short boolean")
+    return _texts(docs).mapInArrow(run, "sig bigint, class bigint, n bigint, short boolean, before int")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -193,6 +203,13 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
 
 
+def _sets_of(classes: DataFrame, named: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """class and shingles of these classes (and of others that share a doc_id with them); their texts are read again."""
+    wanted = settle(named.join(classes, "class").select(F.col("doc_id").alias("_wanted")))
+    texts = _texts(docs)
+    return settle(whole_sets(texts.join(wanted, texts["doc_id"] == wanted["_wanted"], "left_semi"), n))
+
+
 def _close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -213,16 +230,95 @@ def _verified(pairs: DataFrame, bins: DataFrame, named: DataFrame, docs: DataFra
     bounded = pairs.join(side(bins, "a", "n", "histogram"), "a").join(side(bins, "b", "n", "histogram"), "b").select(
         "a", "b", "n_a", "n_b", most("histogram_a", "histogram_b").alias("most"))
     likely = settle(bounded.filter((100 + percent) * F.col("most") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
-    classes = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = settle(named.join(classes, "class").select(F.col("doc_id").alias("_wanted")))
-    texts = _texts(docs)
-    sets = settle(whole_sets(texts.join(wanted, texts["doc_id"] == wanted["_wanted"], "left_semi"), n))
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), named, docs, n)
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return settle(
         likely.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
         .filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
 
 
+def part_numbers(most: int) -> list[int]:
+    """1, 2, 3, 4, 6, 8, 12, ...: the numbers of parts that sets are cut into, up to the first that is `most` or more."""
+    out = [1, 2, 3, 4]
+    while out[-1] < most:
+        out.append(out[-2] * 2)
+    return out[: 1 + sum(m < most for m in out)]
+
+
+def _parts_needed(need: Column) -> Column:
+    """The first of `part_numbers` that is `need` or more."""
+    power = F.pow(F.lit(2), F.length(F.bin(need - 1))).cast("bigint")
+    return F.when(need <= 2, need).when(power * 3 >= need * 4, (power * 3 / 4).cast("bigint")).otherwise(power)
+
+
+def part_keys(shingles: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every part of a set: its key, the number of parts and whether it is empty.
+
+    own: shingles of this set that no other one has; they are left out. most: how many parts are needed at most.
+    """
+    kept = np.setdiff1d(shingles, own).astype(np.uint64)
+    mixed = _mixed(kept + np.uint64(_BASE))
+    keys, numbers, empty = [], [], []
+    for m in part_numbers(most):
+        part = (mixed % np.uint64(m)).astype(np.int64)
+        sums = np.zeros(m, np.uint64)
+        np.add.at(sums, part, _mixed(mixed))
+        count = np.bincount(part, minlength=m)
+        keys.append(_mixed(sums + _mixed(np.arange(m, dtype=np.uint64) + np.uint64(m << 32)) * np.uint64(3)))
+        numbers.append(np.full(m, m, np.int64))
+        empty.append(count == 0)
+    return np.concatenate(keys).astype(np.int64), np.concatenate(numbers), np.concatenate(empty)
+
+
+def refined_pairs(members: DataFrame, named: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs a, b of classes of long lists that may still be close, in different components.
+
+    members: sig, class, n and own of these lists. Two sets differ in at most d = (n_a + n_b)(100 - percent) / (100 +
+    percent) shingles. Shingles that none of the other sets has, u_a and u_b of them, are such differences; so if the
+    rest is cut into d - u_a - u_b + 1 parts by hash, one part is the same in both. That part is the signature, a
+    combination of as many shingles as can be. Every set is cut into all numbers of parts that it may need, a pair
+    is made only in the one that it does need: first for the sizes and u that a list holds, then for the components
+    of these, and only then for classes. Empty parts count together with the long list's own signature.
+    """
+    classes = settle(members.select("class", "n", "own").distinct())
+    sets = _sets_of(classes, named, docs, n).join(classes, "class").select("class", "n", "own", "shingles")
+    lone = (sets.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("class").alias("class"), F.count("*").alias("times"))
+            .filter("times = 1").groupBy("class").agg(F.collect_list("s").alias("lone")))  # part of one set each
+    held = sets.join(lone, "class", "left").select("class", "n", "own", "shingles", "lone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, size, own, shingles, lone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                alone = np.array(lone or [], np.int64)
+                most = size * (100 - percent) // percent - len(alone) + 1
+                if most < 1:
+                    continue  # it differs from every other set by too much
+                keys, numbers, empty = part_keys(np.array(shingles, np.int64), alone, most)
+                same = lambda x: pa.array(np.full(len(keys), x, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(numbers), pa.array(empty), same(key), same(size), same(own), same(len(alone))],
+                    ["key", "parts", "empty", "class", "n", "own", "u"])
+
+    keyed = settle(held.mapInArrow(run, "key bigint, parts bigint, empty boolean, class bigint, n bigint, own bigint, u bigint"))
+    void = keyed.filter("empty").join(members.select("class", "sig"), "class").select(F.xxhash64("key", "sig").alias("key"), "parts", "class", "n", "own", "u")
+    rows = keyed.filter("not empty").select("key", "parts", "class", "n", "own", "u").union(void)
+    shared = rows.groupBy("key", "parts").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("key", "parts")
+    rows = settle(rows.join(shared, ["key", "parts"]))
+    side = lambda table, x, *cols: table.select("key", "parts", *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    kinds = rows.select("key", "parts", "n", "u").distinct()
+    need = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent)) - F.col("u_a") - F.col("u_b") + 1
+    kinds = side(kinds, "a", "n", "u").join(side(kinds, "b", "n", "u"), ["key", "parts"]).filter(
+        (F.struct("n_a", "u_a") <= F.struct("n_b", "u_b")) & _close(F.col("n_a"), F.col("n_b"), percent) & (need >= 1)
+        & (_parts_needed(need) == F.col("parts")))
+    groups = rows.select("key", "parts", "n", "u", "own").distinct()
+    parties = kinds.join(side(groups, "a", "n", "u", "own"), ["key", "parts", "n_a", "u_a"]).join(
+        side(groups, "b", "n", "u", "own"), ["key", "parts", "n_b", "u_b"]).filter("own_a <> own_b")
+    whole = ("n", "u", "own", "class")
+    on = lambda x: ["key", "parts", *(f"{c}_{x}" for c in whole[:3])]
+    pairs = parties.join(side(rows, "a", *whole), on("a")).join(side(rows, "b", *whole), on("b"))
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`; two documents link at `percent` Jaccard similarity.
 
@@ -232,7 +328,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     ids = described.select("doc_id", "n", "class")
     rows = settle(signatures(docs, n, percent))
     lists = settle(rows.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("sig"))
-    listed = settle(rows.join(lists, "sig").groupBy("sig", "class", "n").agg(F.max("short").alias("short")))  # copies have the same rows
+    listed = settle(rows.join(lists, "sig").groupBy("sig", "class", "n").agg(F.max("short").alias("short"), F.min("before").alias("before")))  # copies have the same rows
     named = settle(ids.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     bins = settle(
         described.join(named.select(F.col("doc_id").alias("_first"), F.col("class").alias("_class")),
@@ -244,20 +340,26 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             marked = listed.withColumn("own", F.col("class"))
         else:
             marked = settle(listed.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select(
-                "sig", "class", "n", "short", F.coalesce("component", "class").alias("own")))
-        draw = F.struct(F.xxhash64("class", F.lit(turn)), "class", "n", "own")
+                "sig", "class", "n", "short", "before", F.coalesce("component", "class").alias("own")))
+        draw = F.struct(*([] if turn else ["before"]), F.xxhash64("class", F.lit(turn)), "class", "n", "own")
         leads = settle(
-            marked.groupBy("sig").agg(F.min(draw).alias("lead"), F.min("own").alias("low"), F.max("own").alias("high"))
-            .filter("low <> high").select("sig", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.own").alias("own_b")))
+            marked.groupBy("sig").agg(F.min(draw).alias("lead"), F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("members"))
+            .filter("low <> high").select("sig", "members", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.own").alias("own_b")))
         left = marked.select("sig", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-        right = leads
+        right = leads.drop("members")
         if turn == STAR_ROUNDS:
-            right = settle(marked.filter("short").join(leads.select("sig"), "sig").select(
+            right = settle(marked.filter("short").join(leads.filter(F.col("members") <= LONG_LIST).select("sig"), "sig").select(
                 "sig", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b")))
         pairs = left.join(right, "sig").filter((F.col("own_a") != F.col("own_b")) & _close(F.col("n_a"), F.col("n_b"), percent))
         if turn == STAR_ROUNDS:
             pairs = pairs.filter("n_b <= n_a")  # the smaller one's short prefix meets the other's whole prefix
-        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if turn == STAR_ROUNDS:
+            longer = leads.filter(F.col("members") > LONG_LIST).select("sig")
+            members = settle(marked.join(longer, "sig").select("sig", "class", "n", "own"))
+            if not members.isEmpty():
+                pairs = pairs.union(refined_pairs(members, named, docs, n, percent)).distinct()
+        pairs = settle(pairs)
         if pairs.isEmpty():
             continue  # leaders may all differ too much in size; only the last round is exact
         found = _verified(pairs, bins, named, docs, n, percent)

@@ -30,7 +30,10 @@ def shingles(text):
     return {tuple(words[i: i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
 
-def test_ngram_join_equals_brute_force(spark):
+@pytest.mark.parametrize("stars,long", [(ngramjoin.STAR_ROUNDS, ngramjoin.LONG_LIST), (0, 1), (0, 10)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, stars, long):
+    monkeypatch.setattr(ngramjoin, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(ngramjoin, "LONG_LIST", long)  # 1: every list is refined
     rnd = random.Random(4)
     base = prose(rnd, 150)
     rows = []
@@ -87,7 +90,7 @@ def test_prefix_signatures_meet_for_all_close_sets(weights, percent):
     import numpy as np
 
     def sign(s):
-        found, short = ngramjoin.prefix_signatures(s, np.choose(s % 3, weights), ngramjoin.losses(len(s), percent))
+        found, short, _ = ngramjoin.prefix_signatures(s, np.choose(s % 3, weights), ngramjoin.losses(len(s), percent))
         return set(found[:short]), set(found)
 
     rnd, met = np.random.default_rng(1), 0
@@ -108,6 +111,35 @@ def test_prefix_signatures_meet_for_all_close_sets(weights, percent):
     assert met > 400
 
 
+def test_parts_needed_are_part_numbers(spark):
+    got = spark.range(1, 3000).select("id", ngramjoin._parts_needed(ngramjoin.F.col("id")).alias("parts")).collect()
+    assert all(r["parts"] == ngramjoin.part_numbers(r["id"])[-1] >= r["id"] for r in got)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_refined_pairs_hold_all_close_pairs_and_few_others(spark, monkeypatch, percent):
+    rnd = random.Random(percent)
+    base = [rnd.choice(("oak", "elm", "ash", "fir", "yew")) + str(rnd.randrange(40)) for _ in range(100)]
+    rows = []
+    for i in range(150):
+        words = base[:]
+        for _ in range(rnd.randint(1, 7) if i else 0):
+            words[rnd.randrange(len(words))] = f"own{rnd.random()}" if i % 3 else rnd.choice(base)
+        rows.append(doc(i, " ".join(words)))
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    close = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    docs = documents(spark, rows)
+    described = ngramjoin.described_sets(docs, 3).dropDuplicates(["class"])
+    ids = {r["class"]: r["doc_id"] for r in described.collect()}
+    members = described.selectExpr("1L sig", "class", "n", "class own")
+    found = ngramjoin.refined_pairs(members, described.select("class", "doc_id"), docs, 3, percent).collect()
+    found = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in found}
+    by_set = {frozenset(sets[d]): d for d in ids.values()}
+    same = lambda d: by_set[frozenset(sets[d])]
+    assert {tuple(sorted((same(a), same(b)))) for a, b in close} <= found
+    assert len(close) > 30 and len(found) < len(ids) * (len(ids) - 1) // 3
+
+
 def test_quality(spark):
     good = "\n".join(" ".join(f"word{i}of{k}" for k in range(20)) + "." for i in range(4))
     menu = good.split("\n")[0] + "\n" + "\n".join(f"Home {i} | About {i} | Contact us now {i} | More of this and that and the other {i}" for i in range(9))
