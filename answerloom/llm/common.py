@@ -19,6 +19,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that begins with `name` and that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 GRAMS = (1, 2, 3)
 DIMS = 1 << 12  # buckets of hashed n-grams
@@ -137,6 +137,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows, with all their columns, whose language is found with a score of at least `least`."""
     small_batches(docs.sparkSession)
-    found = docs.withColumn("_language_found", _predictor(model)("text"))
-    return found.filter(
-        (F.col("_language_found.lang") != "und") & (F.col("_language_found.score") >= least)).drop("_language_found")
+    name = fresh(docs, "language_found")
+    found = docs.withColumn(name, _predictor(model)("text"))
+    return found.filter((F.col(name)["lang"] != "und") & (F.col(name)["score"] >= least)).drop(name)

@@ -12,7 +12,8 @@ A run counts if it has at least `min_words` words. Document order is (doc_id, ha
 
 Defined cases: a null or empty text stays as it is; blank lines are kept and are no part of a run; a null doc_id
 comes first; rows with the same doc_id and text are one document with one result; an empty table gives an empty
-result; other columns are carried along unread.
+result; other columns are carried along unread, whatever their names are, but for an input column named like the
+count of removed lines, which that count replaces.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import sorted_ordinal
 from ..session import settle
+from .common import fresh
 
 MIN_WORDS = 8
 CHUNK = 50_000  # suffixes of one chunk of the array
@@ -148,7 +150,8 @@ def _chunk_arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def earlier_prefixes(array: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """sid, i, left and best: how many lines of each suffix class's first occurrence also begin at an earlier place."""
-    placed = settle(array.withColumn("place", F.shiftleft("sid", 24) + F.col("i")).withColumn("chunk", F.floor(F.col("ordinal") / chunk)))
+    bits = (array.agg(F.max("i")).first()[0] or 0).bit_length()
+    placed = settle(array.withColumn("place", F.shiftleft("sid", bits) + F.col("i")).withColumn("chunk", F.floor(F.col("ordinal") / chunk)))
 
     def summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lcps, places = _chunk_arrays(rows)
@@ -202,20 +205,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, chunk: int = CHUN
         "doc_id", "doc_key", (F.col("start") + F.col("s.i")).alias("first"), (F.col("start") + F.col("s.i") + F.col("s.n") - 1).alias("last")))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, chunk: int = CHUNK) -> DataFrame:
-    """`docs` with its columns, its texts without later copies of repeated runs, and `n_removed_lines`."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, chunk: int = CHUNK, removed: str | None = "n_removed_lines") -> DataFrame:
+    """`docs` with its columns, its texts without later copies of repeated runs, and, if `removed` names it, their number."""
     runs = repeated_runs(docs, min_words, chunk)
-    ranges = settle(runs.groupBy(F.col("doc_id").alias("_doc"), F.col("doc_key").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_ranges")))
-    keyed = docs.withColumn("_own", _doc_key())
-    met = keyed.join(ranges, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left")
+    doc, key, own, spans, parts, at, gone = (fresh(docs, c) for c in ("run_doc", "run_key", "own_key", "run_spans", "line_parts", "solid_at", "gone_at"))
+    ranges = settle(runs.groupBy(F.col("doc_id").alias(doc), F.col("doc_key").alias(key)).agg(F.collect_set(F.struct("first", "last")).alias(spans)))
+    keyed = docs.withColumn(own, _doc_key())
+    met = keyed.join(ranges, F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
     lines = F.split("text", "\n")
     solid = F.transform(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    met = met.withColumn("_lines", F.when(F.col("_ranges").isNotNull(), lines)).withColumn(
-        "_at", F.when(F.col("_ranges").isNotNull(), F.filter(F.transform(solid, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())))
-    gone = F.array_distinct(F.flatten(F.transform("_ranges", lambda r: F.slice(F.col("_at"), r["first"] + 1, r["last"] - r["first"] + 1))))
-    met = met.withColumn("_gone", gone)
+    hit = F.col(spans).isNotNull()
+    met = met.withColumn(parts, F.when(hit, lines)).withColumn(
+        at, F.when(hit, F.filter(F.transform(solid, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())))
+    met = met.withColumn(gone, F.array_distinct(F.flatten(F.transform(
+        spans, lambda r: F.slice(F.col(at), r["first"] + 1, r["last"] - r["first"] + 1)))))
     text = F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
+        F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(parts, i)), "\n")
     return met.select(
-        *[F.when(F.col("_ranges").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed_lines"))
+        *[F.when(hit, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != removed],
+        *([F.coalesce(F.size(gone), F.lit(0)).alias(removed)] if removed else []))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import small_batches
+from .common import fresh, small_batches
 from .graph import components
 
 BUCKETS = 1 << 20  # classes of shingles whose frequency is counted
@@ -41,7 +41,7 @@ PARTS = (64, 16, 4, 1)  # of the frequent classes, one number after the other; c
 STAR_ROUNDS = 2
 LONG_LIST = 64  # classes; the rest of a longer list is not paired but refined
 BINS = 512  # of the histograms that bound an overlap
-SETS = "doc_id bigint, n bigint, class bigint, histogram binary"
+SETS = "doc_id bigint, text_hash bigint, n bigint, class bigint, histogram binary"
 
 _BASE = 0x9E3779B97F4A7C15 | 1  # of the rolling word hash, modulo 2 ** 64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,7 +89,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def described_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: doc_id, the number of shingles, a hash of the set, and its histogram over BINS hashed bins.
+    """Per row: doc_id, a hash of the text, the number of shingles, a hash of the set, and its histogram over BINS hashed bins.
 
     Histogram counts stop at 255; the bound treats such a bin as unbounded.
     """
@@ -99,10 +99,10 @@ def described_sets(docs: DataFrame, n: int) -> DataFrame:
             bins = [np.minimum(np.bincount((s >> 20) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for s in sets]
             keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(bins, pa.binary())],
-                ["doc_id", "n", "class", "histogram"])
+                batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(bins, pa.binary())],
+                ["doc_id", "text_hash", "n", "class", "histogram"])
 
-    return _texts(docs).mapInArrow(run, SETS)
+    return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SETS)
 
 
 def class_counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -324,8 +324,33 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Runs jobs while the plan is built and stores tables in the shared folder.
     """
+    return grouped(docs, n, percent).drop("text_hash")
+
+
+def one_of_each_group(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of `docs`, one of each component: the one of the smallest doc_id, of its texts the one of the smallest hash.
+
+    Decided by row: of a doc_id with two texts only the copied one goes, and of equal rows of doc_id and text one stays
+    (any of them, if other columns differ). Rows without words or doc_id all stay. Columns may have any names.
+    """
+    found = settle(grouped(docs, n, percent).filter("n_shingles > 0 and doc_id is not null"))
+    stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays"))
+    doc, text = fresh(docs, "copy_doc"), fresh(docs, "copy_text")
+    keys = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("times")).join(stays, "component_id").select(
+        F.col("doc_id").alias(doc), F.col("text_hash").alias(text), "times", (F.struct("doc_id", "text_hash") == F.col("stays")).alias("first"))
+    keys = settle(keys.filter("times > 1 or not first"))
+    same = (F.col("doc_id").cast("bigint") == F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    alone = docs.join(keys.select(doc, text), same, "left_anti")
+    repeated = settle(keys.filter("first").select(doc, text))
+    if repeated.isEmpty():
+        return alone
+    return alone.union(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """`join`, with a hash of each row's text."""
     described = settle(described_sets(docs, n))
-    ids = described.select("doc_id", "n", "class")
+    ids = described.select("doc_id", "text_hash", "n", "class")
     rows = settle(signatures(docs, n, percent))
     lists = settle(rows.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("sig"))
     listed = settle(rows.join(lists, "sig").groupBy("sig", "class", "n").agg(F.max("short").alias("short"), F.min("before").alias("before")))  # copies have the same rows
@@ -372,5 +397,5 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     first = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = settle(whole.join(first, "component").select("class", "component_id"))
     return ids.join(by_class, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

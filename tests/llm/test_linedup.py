@@ -54,3 +54,13 @@ def test_equals_brute_force(spark, seed, chunk):
 
 def test_empty_table(spark):
     assert linedup.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_columns_named_like_its_own(spark):
+    names = ["_own", "_doc", "_key", "_ranges", "run_doc", "own_key", "gone_at", "Line_Parts"]
+    text = "one two three four five\nsix seven eight nine ten"
+    df = spark.createDataFrame([(1, text, *names, 7), (2, text, *names, 7)], ["doc_id", "text", *names, "n_removed_lines"])
+    got = {r["doc_id"]: r for r in linedup.dedup_lines(df).collect()}
+    assert all(got[i][c] == c for i in got for c in names)
+    assert [(got[i]["text"], got[i]["n_removed_lines"]) for i in (1, 2)] == [(text, 0), ("", 2)]
+    assert linedup.dedup_lines(df, removed=None).columns == df.columns
