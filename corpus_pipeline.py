@@ -1,6 +1,11 @@
 """From raw documents to token ids: language, line dedup, near duplicates, decontamination, BPE.
 
 Every stage takes all rows its predecessor kept, and every stage but the last returns the columns of `documents`.
+
+Defined cases: a null, empty or letterless text is of no known language, so its row goes in the first stage; a null
+doc_id is in no group of copies and no decision depends on it; of rows with the same doc_id and text one stays, of two
+texts of one doc_id only the copied one goes; other columns are carried along, whatever their names are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +29,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated line runs from the texts and bring n_chars up to date; no document goes."""
-    shorter = linedup.dedup_lines(docs).drop("n_removed_lines")
+    shorter = linedup.dedup_lines(docs, removed=None)
     return shorter.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group; documents without words, or without doc_id, are in no group."""
-    groups = ngramjoin.join(docs, NEAR_WORDS, NEAR_PERCENT)
-    copies = settle(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct())
-    return docs.join(copies, F.col("doc_id").cast("bigint") == F.col("_copy"), "left_anti")
+    """Keep one row of each group, of its smallest doc_id; documents without words, or without doc_id, are in no group."""
+    return ngramjoin.one_of_each_group(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
