@@ -198,7 +198,9 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, n) for t in batch.column(1).to_pylist()]
             keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["class", "shingles"])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)  # arrays all the way: sets as lists of numbers take five times the memory
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), shingles], ["class", "shingles"])
 
     return _texts(docs).mapInArrow(run, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
 
@@ -288,12 +290,12 @@ def refined_pairs(members: DataFrame, named: DataFrame, docs: DataFrame, n: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, size, own, shingles, lone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                alone = np.array(lone or [], np.int64)
+            for key, size, own, shingles, lone in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:], strict=True):
+                alone = lone.values.to_numpy() if lone.is_valid else np.zeros(0, np.int64)
                 most = size * (100 - percent) // percent - len(alone) + 1
                 if most < 1:
                     continue  # it differs from every other set by too much
-                keys, numbers, empty = part_keys(np.array(shingles, np.int64), alone, most)
+                keys, numbers, empty = part_keys(shingles.values.to_numpy(), alone, most)
                 same = lambda x: pa.array(np.full(len(keys), x, np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(numbers), pa.array(empty), same(key), same(size), same(own), same(len(alone))],
