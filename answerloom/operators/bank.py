@@ -22,6 +22,7 @@ from ..functions.matching import answer_prefix, similar_answers
 from ..functions.people import (
     any_specific, format_people, has_fields, individual_people, is_specific, normal_by_slots, specific_people)
 from ..session import settle
+from . import poolindex as px
 from .accuracy import map_column
 from .ranking import hash_rank, top_k
 
@@ -191,35 +192,6 @@ def donor_clips(clips: DataFrame, seed: int = 42) -> DataFrame:
     return picked.join(side, F.col("_pick") == F.col("_no"), "left").select("clip", "donor", "d_agg", "d_vic")
 
 
-def accepted_draws(rows: DataFrame, pool: DataFrame, need: Column, accept: Column, op: str, seed: int = 42) -> DataFrame:
-    """`need` accepted pool values per question, as (clip, qtype, found), walking the pool from a
-    seeded start.
-
-    A first window of draws serves nearly every question. Those still short go on with a window
-    twice as wide, until they are served or have seen the whole pool.
-    """
-    c = F.col
-    size = pool_size(pool)
-    todo = rows.withColumn("_need", need).withColumn("_got", F.array().cast("array<string>")).filter("_need > 0")
-    done, start, width = [], 0, 32
-    while True:
-        tries = todo.select("*", F.explode(F.sequence(lit(start), lit(start + width - 1))).alias("_k")).filter(c("_k") < size)
-        number = F.pmod(hash_int(seed, op, c("clip"), c("qtype")) + c("_k"), lit(size))
-        hits = tries.withColumn("_no", number).join(pool.select(c("no").alias("_no"), "value"), "_no").filter(accept)
-        lists = hits.groupBy("clip", "qtype").agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_new"))
-        joined = todo.join(lists.select("clip", "qtype", F.transform("_new", lambda x: x["value"]).alias("_new")), ["clip", "qtype"], "left")
-        got = F.slice(F.concat("_got", F.coalesce("_new", F.array().cast("array<string>"))), lit(1), c("_need"))
-        after = settle(joined.withColumn("_got", got).drop("_new"))
-        start, width = start + width, width * 2
-        short = F.size("_got") < c("_need")
-        if start >= size or after.filter(short).isEmpty():
-            done.append(after)
-            break
-        done.append(after.filter(~short))
-        todo = after.filter(short)
-    return reduce(DataFrame.unionByName, done).select("clip", "qtype", c("_got").alias("found"))
-
-
 # --- which questions -----------------------------------------------------------------------
 
 def can_ask(present: dict[str, Column] | None = None) -> dict[str, Column]:
@@ -920,10 +892,10 @@ def sample_from_pool(questions: DataFrame, values: DataFrame, priority: Column,
     """G14. Distractors for a question: people of its own clip first, one slot kept for the null
     option, the rest drawn from the pool, generic labels when even that runs out.
 
-    Answers that mean the same as the right one are never used; draws go on past them.
+    Answers that mean the same as the right one are never used. Values within 40 % of the right answer's length come
+    first, others only when those are used up.
     """
     c = F.col
-    pool = numbered(values, "sampled", seed)
     rows = questions.select("clip", "qtype", "correct_answer", priority.alias("_own"), static.alias("_null"))
     unlike = lambda x: ~similar_answers(x, c("correct_answer"))
     own = F.filter(F.coalesce("_own", F.array().cast("array<string>")), unlike)
@@ -933,8 +905,9 @@ def sample_from_pool(questions: DataFrame, values: DataFrame, priority: Column,
     if same_clip_only:
         drawn = rows.withColumn("_drawn", F.array().cast("array<string>"))
     else:
-        fine = unlike(c("value")) & ~F.array_contains(F.transform("_own", lambda x: F.lower(x)), F.lower("value"))
-        lists = accepted_draws(rows, pool, room, fine, "sampled", seed).withColumnRenamed("found", "_drawn")
+        pool = px.numbered_by_class(values, F.length("value"), "sampled", seed)
+        mine = F.array_distinct(F.transform("_own", lambda x: F.lower(x)))
+        lists = px.drawn(rows, pool, px.near_length, room, mine, "sampled", seed).withColumnRenamed("found", "_drawn")
         drawn = rows.join(lists, ["clip", "qtype"], "left")
     found = F.concat("_own", F.coalesce("_drawn", F.array().cast("array<string>")), F.when(
         c("_null").isNotNull(), F.array("_null")).otherwise(F.array().cast("array<string>")))
@@ -965,11 +938,10 @@ def cap_prefixes(df: DataFrame, pool: DataFrame, seed: int = 42, op: str = "pref
         order_key(seed, op, c("clip"), c("qtype"), i).alias("k"), i.alias("i")))), lambda s: s["i"])
     rows = rows.withColumn("_out", F.when(evict > 0, F.array_sort(F.slice(mixed, lit(1), evict))).otherwise(F.array().cast("array<int>")))
     taken = F.concat(F.array(F.lower("correct_answer")), F.transform("distractors", lambda d: F.lower(d)))
-    fine = (
-        ~F.array_contains(taken, F.lower("value")) & (F.coalesce(F.lower(answer_prefix(c("value"))), lit("")) != c("_key"))
-        & ~similar_answers(c("value"), c("correct_answer")))
-    lists = accepted_draws(rows.select("clip", "qtype", "correct_answer", "distractors", "_key", "_out"), numbered(pool, op, seed),
-                           F.size("_out"), fine, op, seed).withColumnRenamed("found", "_fresh")
+    leading = lambda x: F.coalesce(F.lower(answer_prefix(x)), lit(""))
+    numbers = px.numbered_by_class(pool, leading(c("value")), op, seed)
+    lists = px.drawn(rows, numbers, lambda answers, entries: px.other_class(answers, entries, leading(c("answer"))),
+                     F.size("_out"), F.array_distinct(taken), op, seed).withColumnRenamed("found", "_fresh")
     joined = rows.join(lists, ["clip", "qtype"], "left")
     swapped = F.transform("distractors", lambda d, i: F.when(
         F.array_contains("_out", i), F.get("_fresh", F.array_position("_out", i).cast("int") - 1)).otherwise(d))

@@ -842,18 +842,80 @@ def negative_questions(spark, sf):
     return shown(bk.negative_questions(person_arrays(clips(spark, sf)), questions(spark, sf)))
 
 
-@query("pool_sampled_distractors")
+_NONEISH = lambda x: f"regexp_matches(lower({x}), '" + "|".join(K.NONE_KEYWORDS) + "')"
+_LOW = lambda x: f"lower(trim({x}))"
+_HOLDS = lambda x, y: f"(len({_LOW(x)}) > 10 and len({_LOW(y)}) > 10 and (contains({_LOW(x)}, {_LOW(y)}) or contains({_LOW(y)}, {_LOW(x)})))"
+_ALIKE = lambda x, y: f"({_LOW(x)} = {_LOW(y)} or ({_NONEISH(x)} and {_NONEISH(y)}) or {_HOLDS(x, y)})"
+_ASKED_OF = ("victim_recognition", "victim", "aggressor"), ("aggressor_identification", "aggressor", "victim")
+
+_SAMPLED = """
+, near as (select clip, aggressor, victim, list_filter(coalesce(bystanders, []), lambda x: not contains(lower(x), 'group of')) nb from clips),
+asked as (""" + " union all ".join(
+    f"select clip, '{t}' qtype, {right} a, [{wrong}] || nb own0, '{K.NULL_ANSWERS[t]}' nul0 from near where {right} is not null"
+    for t, right, wrong in _ASKED_OF) + f"""),
+q0 as (select *, list_filter(own0, lambda x: not {_ALIKE("x", "a")}) own from asked),
+q1 as (select *, list_distinct(list_transform(own, lambda x: lower(x))) mine, case when not {_ALIKE("nul0", "a")}
+  and not list_contains(list_transform(own, lambda x: lower(x)), lower(nul0)) then nul0 end nul from q0),
+q as (select *, greatest(7 - len(own) - (nul is not null)::int, 0) need, ('0x' || substr(md5('42|sampled|' || clip || '|' || qtype), 1, 8))::bigint h from q1),
+people as (select trim(p) v from (select unnest([aggressor, victim] || coalesce(bystanders, [])) p from clips) where trim(p) <> ''),
+ans as (select distinct a, {_LOW("a")} alow, {_NONEISH("a")} an from asked),
+pool as (select *, {_LOW("value")} low, {_NONEISH("key")} nn, row_number() over (order by {_NONEISH("key")}, len(value), md5('42|sampled|' || key), key) - 1 no
+  from (select lower(v) key, min(v) value from people group by 1)),
+free as (select *, row_number() over (partition by a, part order by no) - 1 r from (
+  select a, no, key, value, case when len(value) * 5 between len(a) * 3 and len(a) * 7 then 0 else 1 end part
+  from ans, pool where low <> alow and not (nn and an) and not (length(alow) > 10 and length(low) > 10 and (contains(low, alow) or contains(alow, low))))),
+sizes as (select a, count(*) filter (part = 0) f0, count(*) filter (part = 1) f1 from free group by 1),
+drawn as (select *, least(f0, need + len(mine)) n0 from q join sizes using (a) where need > 0),
+tries as (select *, case when k < n0 then 0 else 1 end part, case when k < n0 then (h + k * 2654435761) % f0 else (h + (k - n0) * 2654435761) % f1 end r
+  from (select *, unnest(range(n0 + least(f1, need + len(mine) - n0))) k from drawn)),
+found as (select clip, qtype, list(value order by k) f from tries join free using (a, part, r) where not list_contains(mine, key) group by all),
+ready as (select clip, qtype, a, own || coalesce(f[:need], []) || case when nul is null then [] else [nul] end d from q left join found using (clip, qtype))
+select clip, qtype, a correct_answer, array_to_string(d || list_transform(range(len(d), 7), lambda i: 'Option ' || (i + 2)), ' ## ') distractors from ready"""
+
+
+@query("pool_sampled_distractors", sql(_SAMPLED, "clips"))
 def pool_sampled_distractors(spark, sf):
-    """Victim questions with people of the clip first and a drawn rest; twin in the tests."""
-    base = person_arrays(clips(spark, sf)).filter("victim is not null")
-    asked = base.select("clip", F.lit("victim_recognition").alias("qtype"), F.get("victim", F.lit(0)).alias("correct_answer"),
-                        F.concat("aggressor", F.coalesce(ppl.individual_people(c("bystander")), F.array().cast("array<string>"))).alias("own"))
+    """Victim and aggressor questions with people of the clip first and a drawn rest."""
+    base = person_arrays(clips(spark, sf))
+    near = F.coalesce(ppl.individual_people(c("bystander")), F.array().cast("array<string>"))
+    kinds = [F.struct(F.lit(t).alias("qtype"), F.get(right, F.lit(0)).alias("correct_answer"), F.concat(wrong, near).alias("own"),
+                      F.lit(K.NULL_ANSWERS[t]).alias("null_text")) for t, right, wrong in _ASKED_OF]
+    asked = base.select("clip", F.explode(F.array(*kinds)).alias("k")).select("clip", "k.*").filter("correct_answer is not null")
     people = pools_of(spark, sf).people.select("value")
-    out = bk.sample_from_pool(asked, people, c("own"), F.lit(K.NULL_ANSWERS["victim_recognition"]))
+    out = bk.sample_from_pool(asked, people, c("own"), c("null_text"))
     return out.withColumn("distractors", join_list("distractors"))
 
 
-@query("prefix_capped_distractors")
+_LEADING = lambda x: (f"lower(case when contains({x}, '; ') then trim(split_part({x}, '; ', 1)) "
+                      f"when regexp_matches({x}, '(?s)^.+ in ') then trim(regexp_extract({x}, '(?s)^(.+) in ', 1)) end)")
+
+_CAPPED = f"""
+, r0 as (select clip, group_id, qtype, correct_answer a, split_part(correct_answer, '; ', 1) lead, list_filter(answers, lambda x: x <> correct_answer) d0
+  from questions where qtype = 'compound_action_victims'),
+r1 as (select clip, qtype, a, {_LEADING("a")} key, list_transform(d0, lambda x, i: case when i % 2 = 1 then lead || '; Victim: person ' || (i - 1) else x end) d from r0),
+r2 as (select *, list_transform(d, lambda x: {_LEADING("x")}) p from r1),
+r3 as (select *, list_filter(range(len(d)), lambda i: p[i + 1] = key) same,
+  greatest(coalesce(list_max(list_transform(list_filter(p, lambda x: x <> key), lambda x: len(list_filter(p, lambda y: y = x)))), 0), 1) top from r2),
+r4 as (select *, case when key is not null and len(same) + 1 > top then len(same) - (top - 1) else 0 end evict from r3),
+r5 as (select *, list_sort(list_transform(list_sort(list_transform(same, lambda i: md5('42|prefix|' || clip || '|' || qtype || '|' || i) || lpad(i::varchar, 4, '0')))[:evict],
+  lambda x: right(x, 4)::int)) gone, list_distinct([lower(a)] || list_transform(d, lambda x: lower(x))) mine,
+  ('0x' || substr(md5('42|prefix|' || clip || '|' || qtype), 1, 8))::bigint h from r4),
+pool as (select *, {_LOW("value")} low, row_number() over (order by nn, cls, md5('42|prefix|' || key), key) - 1 no from (
+  select lower(a) key, min(a) value, {_NONEISH("lower(a)")} nn, coalesce({_LEADING("min(a)")}, '') cls from r0 group by lower(a))),
+ans as (select distinct a, {_LOW("a")} alow, coalesce(key, '') akey, {_NONEISH("a")} an from r5 where evict > 0),
+ex as (
+  select a, no from ans join pool on akey = cls union select a, no from ans join pool on an and nn
+  union select a, no from ans join pool on {_LOW("a")} = {_LOW("value")} union select a, no from ans, pool where length(alow) > 10 and length(low) > 10 and (contains(low, alow) or contains(alow, low))),
+gaps as (select a, list(g order by g) gs, count(*) lost from (select a, no - (row_number() over (partition by a order by no) - 1) g from ex) group by a),
+draws as (select *, (select count(*) from pool) - coalesce(lost, 0) free from r5 left join gaps using (a) where evict > 0),
+tries as (select *, (h + k * 2654435761) % free r from (select *, unnest(range(least(free, evict + len(mine)))) k from draws)),
+hits as (select clip, mine, evict, k, r + coalesce(len(list_filter(gs, lambda g: g <= r)), 0) no from tries),
+found as (select clip, list(value order by k) f from hits join pool using (no) where not list_contains(mine, key) group by clip),
+fin as (select r5.*, list_transform(range(len(d)), lambda i: case when list_contains(gone, i) then f[list_position(gone, i)] else d[i + 1] end) z from r5 left join found using (clip))
+select clip, qtype, a correct_answer, array_to_string(list_filter(z, lambda x: x is not null), ' ## ') distractors from fin"""
+
+
+@query("prefix_capped_distractors", sql(_CAPPED, "questions"))
 def prefix_capped_distractors(spark, sf):
     q = questions(spark, sf).filter("qtype = 'compound_action_victims'")
     rows = q.select("clip", "qtype", "correct_answer", F.filter("answers", lambda a: a != c("correct_answer")).alias("distractors"))
