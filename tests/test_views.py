@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from answerloom.functions import matching as mt
+from answerloom.operators import attribution as att
 from answerloom.operators import bank as bk
 from answerloom.operators import prep
+from answerloom.operators import setops as so
 from answerloom.plans import views
 
 ORDERS = [(1, 1, "O", "1-URGENT"), (2, 2, "F", "5-LOW"), (3, 1, "P", None), (4, 2, None, "4-NOT SPECIFIED")]
@@ -63,3 +65,24 @@ def test_labels_do_not_broadcast_clips(spark):
     for df in (labelled, bk.correct_answers(asked, cast)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r.correct_answer for r in bk.correct_answers(asked, cast).collect()] == ["man in shirt"]
+
+
+def test_joins_by_clip_need_no_shuffle(spark, tmp_path):
+    """Questions and answers of a clip lie in one bucket (label_shift shuffled 357 MB at sf0.1 for this join)."""
+    sf = tables(spark, tmp_path)
+    bank, answers = views.questions(spark, sf), views.results(spark, sf)
+    found = att.attribute_errors(answers, bank, order=["qtype"])
+    joined = so.match_bank(answers, bank, order=["qtype"], columns=["correct_index"])
+    for df, rows in ((found, None), (joined, 3 * 12 * 4)):
+        with_size_joins(spark, df, rows)
+
+
+def with_size_joins(spark, df, rows):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert rows is None or df.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
