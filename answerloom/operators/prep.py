@@ -158,8 +158,6 @@ def preference_pairs(bank: DataFrame, clips: DataFrame, train: DataFrame, outcom
         bank.filter(~F.col("is_secondary") & ~F.col("is_trick"))
         .filter((F.col("correct_index") >= 0) & (F.col("correct_index") < F.size("answers")))
         .join(train.select("clip"), "clip", "left_semi").join(clips.select("clip"), "clip", "left_semi"))
-    if "option_hardness" not in bank.columns or "aggressor" in clips.columns:
-        rows = with_labels(rows, clips)
     if outcomes is not None:
         if not outcome_order:
             raise ValueError("outcome_order says which of two outcomes of a question is the last one")
@@ -168,6 +166,9 @@ def preference_pairs(bank: DataFrame, clips: DataFrame, train: DataFrame, outcom
         rows = rows.join(known.hint("merge"), ["clip", "prompt"], "left")
     else:
         rows = rows.withColumn("_ok", F.lit(None).cast("boolean"))
+    if "option_hardness" not in bank.columns or "aggressor" in clips.columns:
+        # read three times: stored, so that options are derived once; after the join, which both sides may be laid out for
+        rows = with_labels(settle(rows), clips)
     if chains is not None:
         if not chain_order:
             raise ValueError("chain_order says which of two chains of a question is the last one")
