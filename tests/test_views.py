@@ -7,7 +7,7 @@ from answerloom.operators import attribution as att
 from answerloom.operators import bank as bk
 from answerloom.operators import prep
 from answerloom.operators import setops as so
-from answerloom.plans import views
+from answerloom.plans import preparation, views
 from answerloom.sources import readers as rdr
 from answerloom.sources import sinks
 
@@ -110,3 +110,12 @@ def test_checkpoints_may_be_packed(spark, tmp_path):
     assert names == {".gz", ".json"}
     back = rdr.read_checkpoints(spark, str(tmp_path / "packed")).select("clip", "prompt", "is_correct")
     assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, [("a", "p", True), ("a", "q", False), ("b", "p", None), ("b", "p", None)]))
+
+
+def test_reloaded_bank_stays_in_its_buckets(spark, tmp_path):
+    """Issued again by a union, the bank was shuffled for the join (1,232 MB at six times sf0.1)."""
+    sf = tables(spark, tmp_path)
+    bank = preparation.reloaded_bank(spark, sf)
+    assert sorted((r.load, r["count"]) for r in bank.groupBy("load").count().collect()) == [(1, 36), (2, 12)]
+    joined = so.match_bank(views.results(spark, sf), bank, order=["load"], columns=["correct_index"])
+    with_size_joins(spark, joined, 3 * 12 * 4)
