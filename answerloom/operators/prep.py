@@ -200,9 +200,12 @@ def pair_stats(pairs: DataFrame) -> DataFrame:
         "outcome", "label").agg(F.count("*").alias("n"))
 
 
-def retrieve_one_shot(test: DataFrame, train: DataFrame) -> DataFrame:
+def retrieve_one_shot(test: DataFrame, train: DataFrame, carried=("answers", "correct_index")) -> DataFrame:
     """J7. One reference example per test question, or none.
 
+    `carried` are the columns given with a reference, besides its clip and prompt, as ref_<name> (`correct_index` as ref_index). They
+    go through the sort and the stored index, so a caller who does not read them leaves them out.
+
     Candidates share (type, trick), or the opposite trick flag when that bucket does not
     exist, and come from another parent group (no group is one group). The pick is
     sha256(clip|prompt|type) modulo the candidates in (clip, prompt) order.
@@ -213,8 +216,9 @@ def retrieve_one_shot(test: DataFrame, train: DataFrame) -> DataFrame:
     third of all rows is spread over many tasks.
     """
     bucket = ["qtype", "is_trick"]
+    given = {c: "ref_index" if c == "correct_index" else f"ref_{c}" for c in carried}
     # both sides are read several times below, so each is stored once
-    index = settle(sorted_ordinal(train.select(*bucket, "clip", "prompt", "group_id", "answers", "correct_index"),
+    index = settle(sorted_ordinal(train.select(*bucket, "clip", "prompt", "group_id", *carried),
                                   ["clip", "prompt"], "pos", by=bucket))
     sizes = index.groupBy(*bucket).agg(F.count("*").alias("size"))
     # one row per type and trick flag
@@ -263,12 +267,12 @@ def retrieve_one_shot(test: DataFrame, train: DataFrame) -> DataFrame:
         "r.clip", "r.prompt", "r.qtype", "r.is_trick", "r._wanted",
         (F.col("r._v") + F.col("r._in") + F.coalesce("m._before", F.lit(0))).alias("pos"))
     refs = index.select(*bucket, "pos", F.col("clip").alias("ref_clip"), F.col("prompt").alias("ref_prompt"),
-                        F.col("answers").alias("ref_answers"), F.col("correct_index").alias("ref_index"))
+                        *[F.col(c).alias(given[c]) for c in carried])
     hits = found.join(refs, [*bucket, "pos"])
     none = asked.filter("j is null").select("clip", "prompt", "qtype", "_wanted")
     return hits.select(
-        "clip", "prompt", "qtype", F.col("_wanted").alias("is_trick"), "ref_clip", "ref_prompt", "ref_answers",
-        "ref_index").unionByName(none.withColumnRenamed("_wanted", "is_trick"), allowMissingColumns=True)
+        "clip", "prompt", "qtype", F.col("_wanted").alias("is_trick"), "ref_clip", "ref_prompt", *given.values()).unionByName(
+        none.withColumnRenamed("_wanted", "is_trick"), allowMissingColumns=True)
 
 
 def referenced_media(parts: list[DataFrame]) -> DataFrame:

@@ -538,7 +538,7 @@ select p.clip, p.prompt, p.wanted is_trick, idx.clip ref_clip, idx.prompt ref_pr
 union all select clip, prompt, wanted, null, null from c where cand <= 0 or cand is null""", "questions"))
 def one_shot_references(spark, sf):
     test, train = _retrieval_sides(spark, sf)
-    return prep.retrieve_one_shot(test, train).select("clip", "prompt", "is_trick", "ref_clip", "ref_prompt")
+    return prep.retrieve_one_shot(test, train, carried=()).select("clip", "prompt", "is_trick", "ref_clip", "ref_prompt")
 
 
 @query("referenced_media", sql("""
