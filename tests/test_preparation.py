@@ -105,6 +105,35 @@ def test_retrieval_equals_brute_force(spark):
     assert {(r.clip, r.prompt, r.qtype): r.ref_clip for r in out} == want and len(out) == len(test_rows)
 
 
+def test_references_carry_the_columns_asked_for(spark):
+    schema = "clip string, prompt string, qtype string, is_trick boolean, group_id string, answers array<string>, correct_index int"
+    train = spark.createDataFrame([(f"c{i}", "p", "t", False, f"g{i % 3}", ["a", str(i)], i) for i in range(9)], schema)
+    test = spark.createDataFrame([(f"d{i}", "p", "t", False, f"g{i % 4}", [], 0) for i in range(8)] + [("e", "p", "other", True, "g", [], 0)], schema)
+    keys = ["clip", "prompt", "qtype", "is_trick", "ref_clip", "ref_prompt"]
+    full = prep.retrieve_one_shot(test, train)
+    bare = prep.retrieve_one_shot(test, train.drop("answers", "correct_index"), carried=())
+    assert full.columns == [*keys, "ref_answers", "ref_index"] and bare.columns == keys
+    rows = full.collect()
+    assert sorted(map(str, bare.collect())) == sorted(map(str, full.select(*keys).collect())) and len(rows) == 9
+    assert all(r.ref_answers == ["a", r.ref_clip[1:]] and r.ref_index == int(r.ref_clip[1:]) for r in rows if r.ref_clip)
+
+
+def test_shortcut_counts_texts_by_digest(spark):
+    """Repeated texts, texts of one option, of secondary questions, null texts and questions without options."""
+    bank = [("a", "p", False, ["X ", "x", "only"], 1), ("a", "q", True, ["x", "sec", None], 1), ("b", "p", False, ["only b", "x", "sec"], 1),
+            ("c", "p", False, [], 1), ("d", "p", True, ["alone", "x"], 1), ("a", "p", False, ["gone", "gone", "gone"], 0)]
+    bank = spark.createDataFrame(bank, "clip string, prompt string, is_secondary boolean, answers array<string>, load int")
+    # counts: x 3, only 1, sec 1, only b 1, alone 0
+    said = [("m", "a", "p", 0), ("m", "a", "p", 2), ("m", "a", "q", 0), ("m", "a", "q", 1), ("m", "a", "q", 2), ("m", "b", "p", 0),
+            ("m", "b", "p", 1), ("m", "c", "p", 0), ("m", "d", "p", 0), ("m", "d", "p", 1), ("m", "z", "p", 0)]
+    answers = spark.createDataFrame(said, "model string, clip string, prompt string, selected int").withColumn("error", F.lit(None).cast("string"))
+    got = stats.frequency_shortcut(answers, bank, ["load"])
+    assert tuple(got.first())[:4] == ("m", 9, 4, 4) and got.count() == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(_text" in line]
+    assert moved and "hashpartitioning(text" not in plan and "_cold" not in plan
+
+
 def test_insert_missing(spark):
     base = spark.createDataFrame([("a", 1)], "k string, v int")
     new = spark.createDataFrame([("a", 9, 1), ("b", 2, 2), ("b", 3, 1)], "k string, v int, o int")
