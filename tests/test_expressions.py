@@ -1,10 +1,13 @@
 """Annotation clean-up, matching, dialects and free text on literal cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from answerloom import constants as K
 from answerloom.functions import dialects, freetext, matching, people, render
+from answerloom.operators import stats
 
 
 def values(spark, rows, schema, *cols):
@@ -188,3 +191,38 @@ def test_every_type_renders_and_parses_back(spark):
 def test_lettered_prompt(spark, answers, text):
     df = spark.createDataFrame([("q?", answers)], "p string, a array<string>")
     assert df.select(render.lettered_prompt(F.col("p"), F.col("a"))).first()[0] == text
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letter_or_digit_needs_the_number_of_options_only(spark):
+    """Its option texts were derived only to be counted, its pattern matched four times."""
+    texts = ["3", "9", "10", "12x", "0", ":", "B) so", "the h", "h", "", "  \n2", "é", "٣", None, "I", "e5", "5e"]
+    df = spark.createDataFrame([(t, n, 0) for t in texts for n in (0, 1, 2, 4, 8, 12)], "response string, n int, correct_index int")
+
+    def want(t, n):
+        if t is None or n < 1:
+            return None
+        found = re.search(r"(?:^|[^\w])([A-Ha-h])(?:$|[^\w])", t.strip())
+        if found and ord(found[1].upper()) - 65 < n:
+            return ord(found[1].upper()) - 65
+        return next((k - 1 for k in range(1, n + 1) if t.strip().startswith(str(k))), None)
+
+    read = dialects.score_responses(df, "letter_or_digit", options="n")
+    for r in read.collect():
+        assert r.selected == want(r.response, r.n), r
+    assert plan_of(read).count("regexp_extract(") == 1
+    answers = df.withColumn("answers", F.array_repeat(F.lit("x"), F.col("n")))
+    for name in ("number_only", "raw", "letter_d"):
+        by_count, by_texts = (dialects.score_responses(answers, name, options=o).collect() for o in ("n", None))
+        assert by_count == by_texts
+
+
+def test_number_matches_each_pattern_once(spark):
+    rows = [(t, ["p", "q", "r"], 1) for t in ("2", "answer: 3", "9. or option 1", "(2) x", "so 4 to 3", "Q", "", None)]
+    df = spark.createDataFrame(rows, "response string, answers array<string>, correct_index int")
+    read = dialects.score_responses(df, "number")
+    assert [r.selected for r in read.collect()] == [1, 2, 0, 1, None, 1, None, None]
+    assert plan_of(read).count("regexp_extract(") == 5
