@@ -119,3 +119,13 @@ def test_reloaded_bank_stays_in_its_buckets(spark, tmp_path):
     assert sorted((r.load, r["count"]) for r in bank.groupBy("load").count().collect()) == [(1, 36), (2, 12)]
     joined = so.match_bank(views.results(spark, sf), bank, order=["load"], columns=["correct_index"])
     with_size_joins(spark, joined, 3 * 12 * 4)
+
+
+def test_a_filter_on_answers_draws_once(spark, tmp_path):
+    """A filter on `response` went below the draw and made Spark take an answer's md5 again for every mention."""
+    answers = views.results(spark, tables(spark, tmp_path))
+    said = answers.filter("response is not null").select("model", "response")
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 2  # question's and answer's
+    one = answers.filter("model = 'borea-7b'")._jdf.queryExecution().optimizedPlan()
+    assert "Filter (m" in one.toString().split("md5(")[1] and one.toString().count("md5(") == 2  # still before its draw
+    assert said.count() == answers.count() - answers.filter("error = 'timeout'").count()
