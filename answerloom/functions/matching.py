@@ -9,6 +9,11 @@ from .. import constants as K
 from .people import any_of, literals
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)`, with the value made once a row however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column, stop=K.STOP_WORDS) -> Column:
     """B7. Distinct lower-case word tokens without stop words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), 1)
@@ -27,20 +32,27 @@ def jaccard_at_least(a: Column, b: Column, thresh: float) -> Column:
         (F.size(a) > 0) & (F.size(b) > 0) & (shared >= F.lit(thresh) * F.greatest(total, F.lit(1))), F.lit(False))
 
 
-def slot_match(a: Column, b: Column, thresh: float = 0.5, stop=K.STOP_WORDS) -> Column:
-    """B8."""
-    return jaccard_at_least(tokens(a, stop), tokens(b, stop), thresh)
+def slot_match(a: Column, b: Column, thresh: float = 0.5, stop=K.STOP_WORDS, cut: bool = False) -> Column:
+    """B8. `cut`: both are token sets already."""
+    return jaccard_at_least(a, b, thresh) if cut else token_match(tokens(a, stop), tokens(b, stop), thresh)
+
+
+def token_match(a: Column, b: Column, thresh: float) -> Column:
+    """`jaccard_at_least` of token sets that are made where they are named."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda s: jaccard_at_least(s["a"], s["b"], thresh))
 
 
 def role_match(a: Column, b: Column, thresh: float = 0.4) -> Column:
     """B9. The looser match used by the role confusion matrix."""
     both = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-    return both & jaccard_at_least(space_tokens(a), space_tokens(b), thresh)
+    return both & token_match(space_tokens(a), space_tokens(b), thresh)
 
 
-def any_match(slot: Column, people: Column) -> Column:
-    """B10."""
-    return F.coalesce(F.exists(people, lambda p: slot_match(slot, p)), F.lit(False))
+def any_match(slot: Column, people: Column, cut: bool = False) -> Column:
+    """B10. `cut`: the slot and every one of the people are token sets already."""
+    if cut:
+        return F.coalesce(F.exists(people, lambda p: jaccard_at_least(slot, p, 0.5)), F.lit(False))
+    return bound(tokens(slot), lambda t: any_match(t, F.transform(people, lambda p: tokens(p)), cut=True))
 
 
 def none_claim(option: Column) -> Column:

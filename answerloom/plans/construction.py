@@ -164,9 +164,12 @@ select clip, qtype, pos, {_M('ot', 'att')} is_aggressor, coalesce(list_bool_or(l
 def option_slot_matches(spark, sf):
     q = questions(spark, sf).filter(c("qtype").isin("aggressor_identification", "victim_recognition"))
     people = clips(spark, sf).select("clip", "aggressor", "bystanders")
-    o = mt.each_option(q.join(people, "clip"), "clip", "qtype", "aggressor", "bystanders", option="o")
-    return o.select("clip", "qtype", "pos", mt.slot_match(c("o"), c("aggressor")).alias("is_aggressor"),
-                    mt.any_match(c("o"), c("bystanders")).alias("is_bystander"))
+    # people are cut into tokens once a clip, an option once for all of them
+    cut = people.select("clip", mt.tokens(c("aggressor")).alias("aggressor"), F.transform("bystanders", lambda b: mt.tokens(b)).alias("bystanders"))
+    o = mt.each_option(q.join(cut, "clip"), "clip", "qtype", "aggressor", "bystanders", option="o")
+    o = o.select("clip", "qtype", "pos", "aggressor", "bystanders", mt.tokens(c("o")).alias("o"))
+    return o.select("clip", "qtype", "pos", mt.slot_match(c("o"), c("aggressor"), cut=True).alias("is_aggressor"),
+                    mt.any_match(c("o"), c("bystanders"), cut=True).alias("is_bystander"))
 
 
 _SIM = lambda a, b: (f"(lower(trim({a})) = lower(trim({b})) or ({_has(f'lower(trim({a}))', K.NONE_KEYWORDS)} and {_has(f'lower(trim({b}))', K.NONE_KEYWORDS)})"

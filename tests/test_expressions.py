@@ -226,3 +226,15 @@ def test_number_matches_each_pattern_once(spark):
     read = dialects.score_responses(df, "number")
     assert [r.selected for r in read.collect()] == [1, 2, 0, 1, None, 1, None, None]
     assert plan_of(read).count("regexp_extract(") == 5
+
+
+def test_matches_cut_a_text_once(spark):
+    df = spark.createDataFrame([("man in red coat", "person in red coat", ["boy in blue cap", None]), (None, "x", None)],
+                               "a string, b string, p array<string>")
+    got = df.select(matching.slot_match(F.col("a"), F.col("b")).alias("s"), matching.any_match(F.col("a"), F.col("p")).alias("m"))
+    assert [tuple(r) for r in got.collect()] == [(True, False), (False, False)]
+    assert plan_of(got).count("regexp_extract_all(") == 4
+    cut = df.select(matching.tokens(F.col("a")).alias("a"), matching.tokens(F.col("b")).alias("b"),
+                    F.transform("p", lambda x: matching.tokens(x)).alias("p"))
+    same = cut.select(matching.slot_match(F.col("a"), F.col("b"), cut=True).alias("s"), matching.any_match(F.col("a"), F.col("p"), cut=True).alias("m"))
+    assert same.collect() == got.collect()
