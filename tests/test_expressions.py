@@ -238,3 +238,13 @@ def test_matches_cut_a_text_once(spark):
                     F.transform("p", lambda x: matching.tokens(x)).alias("p"))
     same = cut.select(matching.slot_match(F.col("a"), F.col("b"), cut=True).alias("s"), matching.any_match(F.col("a"), F.col("p"), cut=True).alias("m"))
     assert same.collect() == got.collect()
+
+
+def test_properties_cut_a_text_once(spark):
+    bank = spark.createDataFrame([("sequence_verification", False, 0, ["person in red performed a kick on x", "", None]),
+                                  ("primary_action", False, 0, ["Kick ", None])],
+                                 "qtype string, is_secondary boolean, correct_index int, answers array<string>")
+    bias = stats.property_bias(bank, min_support=1)
+    assert sorted((str(r.property), r.total) for r in bias.collect()) == [
+        ("", 1), ("None", 1), ("a kick", 1), ("kick", 1), ("person in red", 1)]
+    assert plan_of(bias).count("regexp_extract_all(") == 2
