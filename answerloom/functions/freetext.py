@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .dialects import standalone_letter
+from .matching import bound
 from .people import any_of
 
 
@@ -40,6 +41,9 @@ def chain_commits(chain: Column, key: Column) -> Column:
 
 def mcq_fault(answers: Column, key: Column, correct_answer: Column) -> Column:
     """B31. 'range', 'text' or NULL; a question without options has no fault."""
-    some = F.size(answers) > 0
-    return F.when(some & ((key < 0) | (key >= F.size(answers))), "range").when(
-        some & ~F.get(answers, key).eqNullSafe(correct_answer), "text")
+    def fault(q):
+        some = F.size(q["answers"]) > 0
+        return F.when(some & ((q["key"] < 0) | (q["key"] >= F.size(q["answers"]))), "range").when(
+            some & ~F.get(q["answers"], q["key"]).eqNullSafe(q["right"]), "text")
+
+    return bound(F.struct(answers.alias("answers"), key.alias("key"), correct_answer.alias("right")), fault)

@@ -150,3 +150,36 @@ def test_packed_clips_do_not_pass_for_small(spark, tmp_path):
             assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def derived(spark):
+    """A question whose options, marked by 'mark!', are derived wherever a plan names them."""
+    df = spark.createDataFrame(
+        [("v1", "aggressor_identification", "Who?", ["x", "y"], "xmark!", 0), ("v2", "aggressor_identification", "Who?", ["x", "y"], "xmark!", 1),
+         ("v3", "aggressor_identification", "Who?", ["x", "y"], "ymark!", 2), ("v4", "aggressor_identification", "Who?", None, "ymark!", 0)],
+        "clip string, qtype string, prompt string, given array<string>, correct_answer string, correct_index int")
+    made = df.withColumn("answers", F.transform("given", lambda x: F.concat(x, F.lit("mark!")))).drop("given")
+    return made.withColumns({"is_secondary": F.lit(False), "is_trick": F.lit(False), "question_index": F.lit(0),
+                             "option_hardness": F.array(F.lit("correct"), F.lit("role_reversal"))})
+
+
+def test_faults_and_pairs_derive_options_once(spark):
+    bank = derived(spark)
+    faults = prep.quarantine(bank).select("clip", "fault")
+    assert sorted(map(tuple, faults.collect())) == [("v2", "text"), ("v3", "range")]
+    clips = bank.select("clip")
+    pairs = prep.preference_pairs(bank, clips, clips, n=1)
+    assert sorted((r.clip, len(r.rejected)) for r in pairs.collect()) == [("v1", 1), ("v2", 1)]
+    for df in (faults, pairs):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("mark!") == 1
+
+
+def test_people_are_cut_into_words_once_a_clip(spark):
+    clips = spark.createDataFrame(
+        [("v1", "man in shirt", None, "kick", ["boy in cap"], "yard")],
+        "clip string, aggressor string, victim string, action string, bystanders array<string>, environment string")
+    judged = prep.judged_options(derived(spark).drop("option_hardness"), clips)
+    above = judged._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "_t_own_agg" in above and "regexp_extract_all(lower(coalesce(aggressor" not in above
+    row = judged.first()
+    assert {"man", "shirt"} <= set(row._t_own_agg) and row._t_own_vic == row._t_ref_vic == [] and row._t_ref_act == ["kick"]
